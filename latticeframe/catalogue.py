@@ -1,6 +1,452 @@
-"""The library's queries over the test tables, and their SQL."""
+"""The library's queries over the test tables, and equivalent SQL for each.
+
+The derived views (nodes, edges, records, branches) are written the same way in both, with integer arithmetic wherever
+an order of addition could matter.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .functions import vector as V
+from .operators import graph, hybrid, search, temporal
+from .plans import CatalogStats, MatchQuery, NearestQuery, explain, optimize, parse, plan_logical, run
+from .tables import shared_dir
+
+HOPS, LEAST, ASSERTED, VALID = 5, 0.1, 75, 400
+
+
+def _read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# views ------------------------------------------------------------------------------------------------------------
+
+
+def nodes(spark, sf_dir: str) -> DataFrame:
+    """id, embedding, label, assertion_time, valid_time."""
+    e = _read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 100).alias("assertion_time"), (F.col("vec_id") % 500).alias("valid_time"))
+
+
+def nodes_q(spark, sf_dir: str) -> DataFrame:
+    point = F.array(F.struct("assertion_time", "valid_time"))
+    return search.quantized(nodes(spark, sf_dir)).withColumn("points", point)
+
+
+def edges(spark, sf_dir: str, factor: int, stride: int) -> DataFrame:
+    """dst = (src * factor + step * stride) mod N for steps 1 to 3; the third step has type 2."""
+    e = _read(spark, sf_dir, "embeddings")
+    n = e.agg(F.count("*").alias("n"))
+    steps = e.select(F.col("vec_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step")).crossJoin(F.broadcast(n))  # one row
+    dst = (F.col("src") * factor + F.col("step") * stride) % F.col("n")
+    return steps.select("src", dst.alias("dst"), (F.lit(1.0) / F.col("step")).alias("weight"), F.when(F.col("step") == 3, 2).otherwise(1).alias("edge_type"))
+
+
+def edges_exp(spark, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir, 31, 17)
+
+
+def edges_ring(spark, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir, 1, 1)
+
+
+def graph_tpch(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges customer -> order (1), order -> part (2), order -> supplier (3)."""
+    o, li = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = o.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit(1).alias("edge_type"))
+    e = e.unionAll(li.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit(2).alias("edge_type")))
+    e = e.unionAll(li.select(name("o", "l_orderkey").alias("src"), name("s", "l_suppkey").alias("dst"), F.lit(3).alias("edge_type")))
+    n = None
+    for table, key, p in (("customer", "c_custkey", "c"), ("orders", "o_orderkey", "o"), ("part", "p_partkey", "p"), ("supplier", "s_suppkey", "s")):
+        rows = _read(spark, sf_dir, table).select(name(p, key).alias("id"))
+        n = rows if n is None else n.unionAll(rows)
+    return n, e
+
+
+def records(spark, sf_dir: str) -> DataFrame:
+    """Facts from events: a day-aligned interval of three days a key, asserted in order of the event id."""
+    e = _read(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = F.expr("unix_micros(cast(ts AS timestamp)) div 86400000000") * 86400000000
+    return e.select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), "value", day.alias("valid_from"), (day + 259200000000).alias("valid_to"), F.col("event_id").alias("asserted_at"), micros.alias("micros")).drop("micros")
+
+
+def branches(spark, sf_dir: str, shift: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """base, target, source: the latest ranges of eight, nine and nine tenths of the records; source rows may be shifted."""
+    r = records(spark, sf_dir)
+    part = F.col("asserted_at") % 10
+    base = r.where(part < 8)
+    moved = r.where(part == 9).withColumns({"valid_from": F.col("valid_from") + shift, "valid_to": F.col("valid_to") + shift})
+    ranges = temporal.logical_ranges
+    return ranges(base), ranges(base.unionByName(r.where(part == 8))), ranges(base.unionByName(moved))
+
+
+SQL_VIEWS = {
+    "nodes": "SELECT vec_id AS id, embedding, label, vec_id % 100 AS assertion_time, vec_id % 500 AS valid_time FROM embeddings",
+    "scaled": "SELECT *, CASE WHEN t = 0 THEN 1.0::FLOAT ELSE (t::DOUBLE / 127)::FLOAT END AS scale FROM (SELECT *, list_max(list_transform(embedding, lambda x: abs(x)))::FLOAT AS t FROM nodes)",
+    "coded": "SELECT id, label, assertion_time, valid_time, scale, list_transform(embedding, lambda x: greatest(-127, least(127, round((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE)::INT))) AS codes FROM scaled",
+    "nodes_q": "SELECT *, list_sum(list_transform(codes, lambda x: (x * x)::BIGINT))::BIGINT AS nn FROM coded",
+    "steps": "SELECT vec_id AS src, s AS step, (SELECT count(*) FROM embeddings) AS n FROM embeddings, unnest([1, 2, 3]) AS u(s)",
+    "edges_exp": "SELECT src, (src * 31 + step * 17) % n AS dst, 1.0::DOUBLE / step AS weight, CASE WHEN step = 3 THEN 2 ELSE 1 END AS edge_type FROM steps",
+    "edges_ring": "SELECT src, (src + step) % n AS dst, 1.0::DOUBLE / step AS weight, CASE WHEN step = 3 THEN 2 ELSE 1 END AS edge_type FROM steps",
+    "q0": "SELECT codes AS qc, nn AS qn, scale AS qs FROM nodes_q WHERE id = 0",
+    "scores": "SELECT id, assertion_time, valid_time, CASE WHEN nn = 0 OR qn = 0 THEN 0.0::DOUBLE ELSE dot::DOUBLE / (sqrt(nn::DOUBLE) * sqrt(qn::DOUBLE)) END AS score FROM (SELECT *, list_sum(list_transform(list_zip(codes, qc), lambda p: (p[1] * p[2])::BIGINT))::BIGINT AS dot FROM nodes_q, q0)",
+    "records": "SELECT event_type || ':' || (user_id % 20) AS key, value, (epoch_us(ts) // 86400000000) * 86400000000 AS valid_from, (epoch_us(ts) // 86400000000) * 86400000000 + 259200000000 AS valid_to, event_id AS asserted_at FROM events",
+    "base": "SELECT key, arg_max(value, asserted_at) AS value, valid_from, valid_to, max(asserted_at) AS asserted_at FROM records WHERE asserted_at % 10 < 8 GROUP BY key, valid_from, valid_to",
+    "target": "SELECT key, arg_max(value, asserted_at) AS value, valid_from, valid_to, max(asserted_at) AS asserted_at FROM records WHERE asserted_at % 10 < 9 GROUP BY key, valid_from, valid_to",
+    "source": "SELECT key, arg_max(value, asserted_at) AS value, valid_from, valid_to, max(asserted_at) AS asserted_at FROM records WHERE asserted_at % 10 < 8 OR asserted_at % 10 = 9 GROUP BY key, valid_from, valid_to",
+    "moved": "SELECT key, value, valid_from + 3456000000000 AS valid_from, valid_to + 3456000000000 AS valid_to, asserted_at FROM records WHERE asserted_at % 10 = 9",
+    "source_moved": "SELECT key, arg_max(value, asserted_at) AS value, valid_from, valid_to, max(asserted_at) AS asserted_at FROM (SELECT * FROM records WHERE asserted_at % 10 < 8 UNION ALL SELECT * FROM moved) GROUP BY key, valid_from, valid_to",
+}
+_NEEDS = {
+    "scaled": ["nodes"], "coded": ["scaled"], "nodes_q": ["coded"], "edges_exp": ["steps"], "edges_ring": ["steps"], "q0": ["nodes_q"], "scores": ["nodes_q", "q0"],
+    "base": ["records"], "target": ["records"], "source": ["records"], "moved": ["records"], "source_moved": ["moved", "records"],
+}
+
+
+def _with(sql: str, *views: str, recursive: str = "") -> str:
+    """``sql`` below the views it names and those that these need."""
+    ordered: list[str] = []
+
+    def add(v: str) -> None:
+        for n in _NEEDS.get(v, []):
+            add(n)
+        if v not in ordered:
+            ordered.append(v)
+
+    for v in views:
+        add(v)
+    parts = [f"{v} AS ({SQL_VIEWS[v]})" for v in ordered] + ([recursive] if recursive else [])
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql}"
+
+
+def _walk(table: str, start: str, hops: int, edge_type: int | None = None) -> str:
+    kind = "" if edge_type is None else f" AND edge_type = {edge_type}"
+    return f"walk AS (SELECT {start} AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN {table} e ON e.src = w.id{kind} WHERE w.depth < {hops})"
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# scans and points ---------------------------------------------------------------------------------------------------
+
+
+@_query(_with("SELECT id, codes, scale, assertion_time, valid_time FROM nodes_q", "nodes_q"))
+def scan_nodes_export(spark, sf_dir):
+    return nodes_q(spark, sf_dir).select("id", F.transform("codes", lambda c: c.cast("int")).alias("codes"), "scale", "assertion_time", "valid_time")
+
+
+@_query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id = 42")
+def point_lookup(spark, sf_dir):
+    return nodes(spark, sf_dir).where(F.col("id") == 42).select("id", "label")
+
+
+@_query("SELECT vec_id AS id, lower(sha256('node-' || vec_id)) AS digest FROM embeddings")
+def node_ids(spark, sf_dir):
+    key = F.concat(F.lit("node-"), F.col("id").cast("string"))
+    return nodes(spark, sf_dir).select("id", S.to_hex(S.node_id(key)).alias("digest"))
+
+
+@_query(_with("SELECT id, scale, nn FROM nodes_q", "nodes_q"))
+def quantize_vectors(spark, sf_dir):
+    return nodes_q(spark, sf_dir).select("id", "scale", "nn")
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Each node with its ring neighbours: pairs of linear number."""
+    q = nodes_q(spark, sf_dir).select("id", "codes", "nn", "scale")
+    other = q.select(*(F.col(c).alias(f"{c}_b") for c in q.columns))
+    return edges_ring(spark, sf_dir).select("src", "dst").join(q, F.col("src") == F.col("id")).join(other, F.col("dst") == F.col("id_b"))
+
+
+_SQL_PAIRS = "FROM edges_ring JOIN nodes_q a ON a.id = src JOIN nodes_q b ON b.id = dst"
+_SQL_DOT = "list_sum(list_transform(list_zip(a.codes, b.codes), lambda p: (p[1] * p[2])::BIGINT))::BIGINT"
+
+
+@_query(_with(f"SELECT src AS a, dst AS b, {_SQL_DOT} AS dot {_SQL_PAIRS}", "nodes_q", "edges_ring"))
+def dot_int8(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), V.dot_codes(F.col("codes"), F.col("codes_b")).alias("dot"))
+
+
+@_query(_with(f"SELECT src AS a, dst AS b, {_SQL_DOT}::DOUBLE / (sqrt(a.nn::DOUBLE) * sqrt(b.nn::DOUBLE)) AS score {_SQL_PAIRS}", "nodes_q", "edges_ring"))
+def cosine_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), V.cosine(V.dot_codes(F.col("codes"), F.col("codes_b")), F.col("nn"), F.col("nn_b")).alias("score"))
+
+
+@_query(_with(f"SELECT src AS a, dst AS b, round(-list_sum(list_transform(list_zip(a.codes, b.codes), lambda p: power(p[1]::DOUBLE * a.scale::DOUBLE - p[2]::DOUBLE * b.scale::DOUBLE, 2))), 4) + 0.0 AS score {_SQL_PAIRS}", "nodes_q", "edges_ring"))
+def l2_pairs(spark, sf_dir):
+    score = V.l2_score(F.col("codes"), F.col("scale"), F.col("codes_b"), F.col("scale_b"))
+    return _pairs(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.round(score, 4) + 0.0).alias("score"))
+
+
+# nearest neighbours -------------------------------------------------------------------------------------------------
+
+
+def _vector_of(spark, sf_dir, node: int = 0) -> list[float]:
+    return list(nodes(spark, sf_dir).where(F.col("id") == node).select("embedding").first()[0])
+
+
+@_query(_with("SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 10", "scores"))
+def knn_exact_cosine(spark, sf_dir):
+    return search.nearest(nodes_q(spark, sf_dir), _vector_of(spark, sf_dir), 10)
+
+
+@_query(_with("SELECT id, round(-list_sum(list_transform(list_zip(codes, qc), lambda p: power(p[1]::DOUBLE * scale::DOUBLE - p[2]::DOUBLE * qs::DOUBLE, 2))), 4) + 0.0 AS score FROM nodes_q, q0 ORDER BY score DESC, id LIMIT 10", "nodes_q", "q0"))
+def knn_exact_l2(spark, sf_dir):
+    return search.nearest(nodes_q(spark, sf_dir), _vector_of(spark, sf_dir), 10, "l2").withColumn("score", F.round("score", 4) + 0.0)
+
+
+_SQL_JOIN = "SELECT query_id, id, dot, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT b.id AS query_id, a.id AS id, dot, dot::DOUBLE / (sqrt(b.nn::DOUBLE) * sqrt(a.nn::DOUBLE)) AS score FROM (SELECT a.id AS i, b.id AS j, {dot} AS dot FROM nodes_q a, nodes_q b WHERE b.id % 100 = 0) JOIN nodes_q a ON a.id = i JOIN nodes_q b ON b.id = j)) WHERE r <= 10".replace("{dot}", _SQL_DOT)
+
+
+@_query(_with(_SQL_JOIN, "nodes_q"))
+def knn_join_topk(spark, sf_dir):
+    q = nodes_q(spark, sf_dir)
+    return search.nearest_join(q, q.where(F.col("id") % 100 == 0), 10)
+
+
+@_query(_with("SELECT id, score FROM scores WHERE score >= 0.1", "scores"))
+def cosine_threshold_scan(spark, sf_dir):
+    return search.threshold_scan(nodes_q(spark, sf_dir), _vector_of(spark, sf_dir), LEAST)
+
+
+@_query(None)
+def recall_at_k(spark, sf_dir):
+    """Recall of the cell index against the exact scan, by query."""
+    n, q = nodes(spark, sf_dir), nodes_q(spark, sf_dir)
+    index = search.CellIndex.build(n, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}")
+    exact = found = None
+    for k in (0, 7, 14):
+        v = _vector_of(spark, sf_dir, k)
+        e, f = (d.select(F.lit(k).alias("query_id"), "id") for d in (search.nearest(q, v, 10), index.search(spark, v, 10, 12)))
+        exact, found = (e, f) if exact is None else (exact.unionAll(e), found.unionAll(f))
+    return search.recall(exact, found, 10)
+
+
+# time ---------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_id % 100 < 50 AND event_id % 500 <= 20)")
+def temporal_point_filter(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    users = e.groupBy("user_id").agg(F.collect_set(F.struct((F.col("event_id") % 100).alias("assertion_time"), (F.col("event_id") % 500).alias("valid_time"))).alias("points"))
+    return users.where(hybrid.point_within(F.col("points"), 50, 20)).select("user_id")
+
+
+@_query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 100 < 31 AND vec_id % 500 <= 400")
+def as_of_bound_filter(spark, sf_dir):
+    n = nodes(spark, sf_dir).withColumn("points", F.array(F.struct("assertion_time", "valid_time")))
+    return n.where(hybrid.point_within(F.col("points"), hybrid.effective_bound(75, 30), 400)).select("id")
+
+
+_KEY, _AT = "click:3", 1704844800000000
+
+
+@_query(_with(f"SELECT key, value, valid_from, valid_to, asserted_at FROM records WHERE key = '{_KEY}' AND valid_from <= {_AT} AND {_AT} < valid_to ORDER BY asserted_at DESC, valid_from, valid_to LIMIT 1", "records"))
+def get_as_of_point(spark, sf_dir):
+    return temporal.get_as_of(records(spark, sf_dir), _KEY, _AT)
+
+
+@_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id WHERE p.event_id % 20 = 0) WHERE n = 1", "records"))
+def as_of_join(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").where(F.col("event_id") % 20 == 0)
+    probes = e.select(F.col("event_id").alias("probe_id"), F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("known_by"))
+    return temporal.as_of_join(probes, records(spark, sf_dir))
+
+
+@_query(_with(f"SELECT key, value, valid_from, valid_to, asserted_at FROM records WHERE valid_from <= {_AT} AND {_AT} < valid_to", "records"))
+def valid_interval_scan(spark, sf_dir):
+    return temporal.valid_at(records(spark, sf_dir), _AT).select(*temporal.RECORD)
+
+
+@_query(_with("SELECT key, arg_max(value, asserted_at) AS value, valid_from, valid_to, max(asserted_at) AS asserted_at FROM records GROUP BY key, valid_from, valid_to", "records"))
+def logical_ranges_latest(spark, sf_dir):
+    return temporal.logical_ranges(records(spark, sf_dir))
+
+
+@_query("SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events")
+def latency_percentiles(spark, sf_dir):
+    cut = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{round(p * 100)}")
+    return _read(spark, sf_dir, "events").agg(*(cut(p) for p in (0.5, 0.9, 0.95, 0.99)))
+
+
+# graph --------------------------------------------------------------------------------------------------------------
+
+
+@_query(_with("SELECT src, dst, edge_type FROM edges_exp WHERE edge_type = 2", "edges_exp"))
+def edge_type_filter(spark, sf_dir):
+    return edges_exp(spark, sf_dir).where(F.col("edge_type") == 2).select("src", "dst", "edge_type")
+
+
+@_query(_with("SELECT DISTINCT src, dst FROM edges_exp WHERE dst IN (SELECT id FROM nodes WHERE label <> 3)", "edges_exp", "nodes"))
+def dangling_edge_drop(spark, sf_dir):
+    return graph.live_edges(edges_exp(spark, sf_dir), nodes(spark, sf_dir).where(F.col("label") != 3))
+
+
+def _start(spark, node) -> DataFrame:
+    return spark.range(1).select(F.lit(node).cast("bigint").alias("id"))
+
+
+@_query(_with("SELECT id, min(depth) AS depth FROM walk GROUP BY id", "edges_exp", recursive=_walk("edges_exp", "0::BIGINT", HOPS)))
+def bfs_reachable_depth(spark, sf_dir):
+    return graph.reachable(nodes(spark, sf_dir), edges_exp(spark, sf_dir), _start(spark, 0), HOPS).select("id", "depth")
+
+
+@_query(_with("SELECT id, min(depth) AS depth FROM walk GROUP BY id", "edges_exp", recursive=_walk("edges_exp", "0::BIGINT", HOPS, 1)))
+def bfs_typed(spark, sf_dir):
+    return graph.reachable(nodes(spark, sf_dir), edges_exp(spark, sf_dir), _start(spark, 0), HOPS, 1).select("id", "depth")
+
+
+_SQL_TPCH = "tpch AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem)"
+
+
+@_query(f"WITH RECURSIVE {_SQL_TPCH}, walk AS (SELECT 'c' || min(o_custkey) AS id, 0 AS depth FROM orders UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN tpch e ON e.src = w.id WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id")
+def bfs_tpch(spark, sf_dir):
+    n, e = graph_tpch(spark, sf_dir)
+    start = _read(spark, sf_dir, "orders").agg(F.concat(F.lit("c"), F.min("o_custkey").cast("string")).alias("id"))
+    return graph.reachable(n, e, start, 2).select("id", "depth")
+
+
+@_query(_with("SELECT id, score, min(depth) AS depth FROM walk JOIN scores USING (id) GROUP BY id, score", "edges_exp", "scores", recursive=_walk("edges_exp", "0::BIGINT", HOPS)))
+def traverse_scored(spark, sf_dir):
+    found = graph.traverse(nodes_q(spark, sf_dir), edges_exp(spark, sf_dir), _start(spark, 0), HOPS)
+    return search.scored(found, _vector_of(spark, sf_dir)).select("id", "score", "depth")
+
+
+_SQL_TRIMODAL = _with(f"SELECT id, score, min(depth) AS depth FROM walk JOIN scores USING (id) WHERE score >= {LEAST} AND assertion_time < {ASSERTED} AND valid_time <= {VALID} GROUP BY id, score", "edges_exp", "scores", recursive=_walk("edges_exp", "0::BIGINT", HOPS))
+
+
+@_query(_SQL_TRIMODAL)
+def trimodal_graph_first(spark, sf_dir):
+    return hybrid.graph_first(nodes_q(spark, sf_dir), edges_exp(spark, sf_dir), _start(spark, 0), _vector_of(spark, sf_dir), LEAST, ASSERTED, VALID, HOPS)
+
+
+@_query(_SQL_TRIMODAL)
+def trimodal_vector_first(spark, sf_dir):
+    return hybrid.vector_first(nodes_q(spark, sf_dir), edges_exp(spark, sf_dir), _start(spark, 0), _vector_of(spark, sf_dir), LEAST, ASSERTED, VALID, HOPS)
+
+
+# the query language -------------------------------------------------------------------------------------------------
+
+
+def _plan(text: str, n: int):
+    return optimize(plan_logical(parse(text)), CatalogStats(n, 3.0))
+
+
+@_query(_with("SELECT id, score, 0 AS depth FROM scores ORDER BY score DESC, id LIMIT 5", "scores"))
+def ql_nearest(spark, sf_dir):
+    v = ", ".join(repr(float(x)) for x in _vector_of(spark, sf_dir))
+    return run(_plan(f"VECTOR NEAREST [{v}] LIMIT 5", 1), nodes_q(spark, sf_dir), edges_exp(spark, sf_dir))
+
+
+@_query(_with(f"SELECT id, score, min(depth) AS depth FROM walk JOIN scores USING (id) WHERE score >= {LEAST} AND assertion_time < 60 AND valid_time <= {VALID} GROUP BY id, score ORDER BY score DESC, depth, id LIMIT 20", "edges_exp", "scores", recursive=_walk("edges_exp", "0::BIGINT", HOPS)))
+def ql_match(spark, sf_dir):
+    """The start is node 0; the text names it by its digest, as a stored node would be."""
+    v = ", ".join(repr(float(x)) for x in _vector_of(spark, sf_dir))
+    text = f"MATCH (a)-[:EDGE*1..{HOPS}]->(b) FROM {S.node_id_of('node-0').hex()} VECTOR [{v}] COSINE > {LEAST} ASSERTION < {ASSERTED} VALID <= {VALID} AS OF SYSTEM TIME 59 RETURN id,score,depth LIMIT 20"
+    q = nodes_q(spark, sf_dir)
+    return run(_plan(text, q.count()), q, edges_exp(spark, sf_dir), _start(spark, 0))
+
+
+_GRID = [(c, h, e) for c in (0.5, 0.75, 0.99) for h in (1, 3, 8) for e in (None, 7)]
+_SQL_GRID = " UNION ALL ".join(f"SELECT {c}::FLOAT AS cosine, {h} AS hops, {-1 if e is None else e}::INT AS edge_type" for c, h, e in _GRID)
+
+
+@_query(f"""WITH g AS ({_SQL_GRID}), c AS (SELECT *, 100000 * least(1, greatest(0.0001, 1 - cosine::DOUBLE)) AS by_vector, power(8.0, hops) AS by_graph FROM g),
+p AS (SELECT *, CASE WHEN cosine > 0.98::FLOAT THEN 'VectorFirst' WHEN edge_type >= 0 OR hops <= 2 OR by_graph <= by_vector THEN 'GraphFirst' ELSE 'VectorFirst' END AS access FROM c)
+SELECT cosine::DOUBLE AS cosine, hops, edge_type, access, printf('PhysicalPlan(access=%s, estimated_cost=%.3f, limit=10, projection=[id,score,depth])', access, CASE WHEN access = 'GraphFirst' THEN by_graph ELSE by_vector END) AS plan FROM p""")
+def explain_paths(spark, sf_dir):
+    """The planner's choices over a grid of cosine, hops and edge type, for 100,000 nodes of degree 8."""
+    rows = []
+    for c, h, e in _GRID:
+        p = optimize(plan_logical(MatchQuery(b"\0" * 32, h, (1.0,), c, 10, 10, 10, e)), CatalogStats(100_000, 8.0))
+        rows.append((c, h, -1 if e is None else e, p.access, explain(p)))
+    out = spark.createDataFrame(rows, "cosine double, hops int, edge_type int, access string, plan string")
+    return out.withColumn("cosine", F.col("cosine").cast("float").cast("double"))
+
+
+# branches -----------------------------------------------------------------------------------------------------------
+
+
+_RANGE = "x.key = y.key AND x.valid_from = y.valid_from AND x.valid_to = y.valid_to AND x.value = y.value"
+_CHANGED = "SELECT * FROM {0} x WHERE NOT EXISTS (SELECT 1 FROM base y WHERE " + _RANGE + ")"
+_COLUMNS = "key, value, valid_from, valid_to, asserted_at"
+
+
+@_query(_with(f"SELECT {_COLUMNS} FROM ({_CHANGED.format('source')})", "base", "source"))
+def branch_diff(spark, sf_dir):
+    base, _, source = branches(spark, sf_dir)
+    return temporal.changes(source, base).select(*temporal.RECORD)
+
+
+@_query(_with(f"SELECT {_COLUMNS} FROM ({_CHANGED.format('source')}) s WHERE EXISTS (SELECT 1 FROM ({_CHANGED.format('target')}) t WHERE s.key = t.key AND s.valid_from < t.valid_to AND t.valid_from < s.valid_to AND s.value <> t.value)", "base", "source", "target"))
+def merge_conflicts(spark, sf_dir):
+    base, target, source = branches(spark, sf_dir)
+    return temporal.conflicts(temporal.changes(source, base), temporal.changes(target, base)).select(*temporal.RECORD)
+
+
+_EPOCH = 10_000_000
+
+
+@_query(_with(f"SELECT {_COLUMNS} FROM target UNION ALL SELECT key, value, valid_from, valid_to, {_EPOCH}::BIGINT FROM ({_CHANGED.format('source_moved')})", "base", "source_moved", "target"))
+def merge_apply(spark, sf_dir):
+    base, target, source = branches(spark, sf_dir, shift=40 * 86400000000)
+    return temporal.merged(target, temporal.changes(source, base), _EPOCH)
+
+
+@_query(_with("SELECT t.n AS parent_ranges, s.n AS child_ranges FROM (SELECT count(*) AS n FROM base) t, (SELECT count(*) AS n FROM source) s", "base", "source"))
+def fork_isolation(spark, sf_dir):
+    """A child's writes add to the child alone."""
+    base, _, child = branches(spark, sf_dir)
+    return base.agg(F.count("*").alias("parent_ranges")).crossJoin(child.agg(F.count("*").alias("child_ranges")))
+
+
+# stores -------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT count(*) AS nodes, sum(64 + len(embedding) + 16 + 120)::BIGINT AS logical_bytes FROM embeddings")
+def index_stats(spark, sf_dir):
+    size = S.node_bytes(F.size("embedding"), F.lit(1), F.lit(3))
+    return nodes(spark, sf_dir).agg(F.count("*").alias("nodes"), F.sum(size).alias("logical_bytes"))
+
+
+@_query("SELECT ceil(n / floor((65536 - 64) / b))::BIGINT AS blocks, b AS node_bytes FROM (SELECT count(*) AS n, max(64 + len(embedding) + 16 + 120)::BIGINT AS b FROM embeddings)")
+def storage_packing(spark, sf_dir):
+    n = nodes(spark, sf_dir).agg(F.count("*").alias("n"), F.max(S.node_bytes(F.size("embedding"), F.lit(1), F.lit(3))).alias("b"))
+    return n.select(F.ceil(F.col("n") / F.floor(F.lit(65536 - 64) / F.col("b"))).cast("bigint").alias("blocks"), F.col("b").alias("node_bytes"))
+
+
+@_query("SELECT p_partkey AS cache, (2::BIGINT * p_size * 4 * 8 * 64 * 16 * 2)::BIGINT AS bytes FROM part")
+def kv_expected_bytes(spark, sf_dir):
+    size = S.cache_bytes(F.col("p_size"), F.lit(4), F.lit(8), F.lit(64), F.lit(16), F.lit(2))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("cache"), size.alias("bytes"))
+
+
+@_query("SELECT l_orderkey AS cache, l_linenumber AS idx, (l_quantity * 1000)::BIGINT AS len, (ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT AS transfer, coalesce(sum((l_quantity * 1000)::BIGINT) OVER w, 0)::BIGINT AS device_offset, coalesce(sum((ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT) OVER w, 0)::BIGINT AS file_offset FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def kv_restore_extents(spark, sf_dir):
+    """Offsets of the blocks of each cache: running sums of their sizes, plain and rounded to 4 KiB."""
+    size = (F.col("l_quantity") * 1000).cast("bigint")
+    blocks = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cache"), F.col("l_linenumber").alias("idx"), size.alias("len"), "l_partkey", "l_suppkey").withColumn("transfer", S.rounded_to_block(F.col("len")))
+    before = Window.partitionBy("cache").orderBy("idx", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("cache", "idx", "len", "transfer", F.coalesce(F.sum("len").over(before), F.lit(0)).alias("device_offset"), F.coalesce(F.sum("transfer").over(before), F.lit(0)).alias("file_offset"))
+
+
+def nearest_plan(vector: list[float], k: int, n: int):
+    return optimize(plan_logical(NearestQuery(tuple(vector), k)), CatalogStats(n))
