@@ -16,9 +16,11 @@ order of their texts' hashes; an empty table gives no shards and no rows; furthe
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -105,37 +107,67 @@ def open_shard(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
     return doc_ids, EliasFano(docs + 1, width, lo, hi, sampled), take("<u4" if size == 4 else "<u2", tokens)
 
 
+#: Between a letter and a punctuation mark other than an apostrophe.
+_EDGE = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+_encoders: dict = {}
+
+
+class Memory(dict):
+    """Ids of pieces as bytes; a missing piece is taken from the former generation or encoded."""
+
+    def __init__(self, encode, kind: str, former: dict):
+        self.encode, self.kind, self.former = encode, kind, former
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.former.get(piece)
+        if found is None:
+            found = array(self.kind, self.encode(piece.decode())).tobytes()
+        self[piece] = found
+        return found
+
+
 class Encoder:
-    """The tokenizer over whole texts, remembering the ids of white-space-delimited pieces.
+    """The tokenizer over whole texts, remembering the ids of pieces between spaces.
 
-    ``pieces`` may be set for tokenizers whose normaliser and pre-tokeniser never look across a space or a line feed
-    (it is checked on every piece-wise text's first use that both ways agree); the ids are always the library's own.
+    ``pieces`` may be set for tokenizers that fold case and whose normaliser and pre-tokeniser never look across a space
+    or a line feed, nor from a letter to an ASCII mark other than an apostrophe; the first texts of every worker are encoded both ways
+    to check that.  A text that holds a special token's string goes to the library whole.  Ids are always the library's own.
+    The memory is two generations of at most ``most`` pieces each.
     """
 
-    def __init__(self, path: str, pieces: bool, most: int = 1 << 19):
+    def __init__(self, path: str, pieces: bool, most: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are dealt by Spark
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces, self.most, self.known, self.checks = pieces, most, {}, 8
+        self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.most, self.checks = pieces, most, 8
+        self.known = self._generation({})
+
+    def _generation(self, former: dict) -> Memory:
+        return Memory(self._whole, "H" if self.kind is np.uint16 else "I", former)
+
+    @classmethod
+    def of(cls, path: str, pieces: bool) -> Encoder:
+        """One encoder for each worker process, so that tasks share what it remembers."""
+        if (path, pieces) not in _encoders:
+            _encoders[path, pieces] = cls(path, pieces)
+        return _encoders[path, pieces]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.pieces:
-            return np.array(self._whole(text), np.uint32)
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        new = list({p for p in parts if p not in known})
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(parts))
-            for begin in range(0, len(new), 4096):
-                some = new[begin : begin + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, np.uint32).tobytes()
-        out = np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
+        data = text.encode().lower() if self.pieces else b""
+        if not self.pieces or any(s in data for s in self.special):
+            return np.array(self._whole(text), self.kind)
+        if len(self.known) > self.most:
+            former, self.known.former = self.known, {}
+            self.known = self._generation(former)
+        parts = _EDGE.sub(b" ", data).replace(b"\n", b" ").split(b" ")
+        out = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), self.kind)
         if self.checks and len(text) < 100_000:
             self.checks -= 1
             if self._whole(text) != out.tolist():
@@ -164,8 +196,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer_path, pieces), TaskContext.get().partitionId()
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        encoder, part = Encoder.of(tokenizer_path, pieces), TaskContext.get().partitionId()
+        end = np.array([] if end_id is None else [end_id], encoder.kind)
         seq, size, ids, docs, lengths = 0, 0, [], [], []
 
         def flush():
