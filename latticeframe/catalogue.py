@@ -41,9 +41,9 @@ def nodes_q(spark, sf_dir: str) -> DataFrame:
 def edges(spark, sf_dir: str, factor: int, stride: int) -> DataFrame:
     """dst = (src * factor + step * stride) mod N for steps 1 to 3; the third step has type 2."""
     e = _read(spark, sf_dir, "embeddings")
-    n = e.agg(F.count("*").alias("n"))
-    steps = e.select(F.col("vec_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step")).crossJoin(F.broadcast(n))  # one row
-    dst = (F.col("src") * factor + F.col("step") * stride) % F.col("n")
+    n = e.count()
+    steps = e.select(F.col("vec_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"))
+    dst = (F.col("src") * factor + F.col("step") * stride) % F.lit(n)
     return steps.select("src", dst.alias("dst"), (F.lit(1.0) / F.col("step")).alias("weight"), F.when(F.col("step") == 3, 2).otherwise(1).alias("edge_type"))
 
 
@@ -415,7 +415,8 @@ def merge_apply(spark, sf_dir):
 def fork_isolation(spark, sf_dir):
     """A child's writes add to the child alone."""
     base, _, child = branches(spark, sf_dir)
-    return base.agg(F.count("*").alias("parent_ranges")).crossJoin(child.agg(F.count("*").alias("child_ranges")))
+    both = base.select(F.lit(0).alias("child")).unionAll(child.select(F.lit(1).alias("child")))
+    return both.agg(F.count_if(F.col("child") == 0).alias("parent_ranges"), F.count_if(F.col("child") == 1).alias("child_ranges"))
 
 
 # stores -------------------------------------------------------------------------------------------------------------

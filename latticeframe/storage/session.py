@@ -93,6 +93,12 @@ class SessionManager:
     def query_pandas(self, branch: str, text: str):
         return self.query(branch, text).to_pandas()
 
+    def query_polars(self, branch: str, text: str):
+        """A lazy polars frame, where polars is installed."""
+        import polars
+
+        return polars.from_arrow(self.query(branch, text)).lazy()
+
     def export_fused(self, branch: str) -> DataFrame:
         return self.engine.projections(branch)
 

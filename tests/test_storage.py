@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -13,6 +14,7 @@ from latticeframe import errors
 from latticeframe.functions.scalar import node_id_of
 from latticeframe.functions.vector import quantize
 from latticeframe.storage import Engine, KvCacheSpec, KvCacheStore, SessionManager
+from latticeframe.storage.adapters import LayerMajorCacheAdapter, PagedCacheAdapter
 from latticeframe.streaming.ingest import stream_records
 
 
@@ -254,3 +256,30 @@ def test_stream_of_records(spark, engine, tmp_path):
 def test_quantize():
     assert quantize([0.25, -0.5, 1.0, 0.0]) == ([32, -64, 127, 0], quantize([1.0])[1])
     assert quantize([0.0, 0.0])[0] == [0, 0]
+
+
+def test_cache_adapters(spark, tmp_path):
+    m = SessionManager(spark, str(tmp_path / "store"))
+    s = m.fork_session(m.main_branch()).id
+    rng = np.random.default_rng(3)
+    tensor = rng.normal(size=(2, 4, 2)).astype(np.float32)  # keys and values of four positions
+    adapter = PagedCacheAdapter(m)
+    adapter.store(s, spec(1), tensor)
+    out = bytearray(64)
+    adapter.restore_into(s, out)
+    keys, values = np.frombuffer(out, np.float32).reshape(2, 4, 2)
+    query = rng.normal(size=2).astype(np.float32)
+
+    def attention(k, v):
+        w = np.exp(k @ query)
+        return (w / w.sum()) @ v
+
+    assert (attention(keys, values) == attention(*tensor)).all()
+    assert bytes(adapter.restore_bytes(s)[0]) == tensor.tobytes() and "CpuDirect" in adapter.restore_ticket(s)
+    child = m.fork_session(s).id
+    assert bytes(adapter.restore_bytes(child)[0]) == tensor.tobytes()
+    with pytest.raises(errors.KvCacheError):
+        LayerMajorCacheAdapter(m).store(s, spec(1), tensor)
+    with pytest.raises(errors.SessionError):
+        m.restore_into(s, bytearray(3))
+    m.close()
