@@ -6,10 +6,10 @@
    positions, sometimes a second one (``1 / similarity`` on average, the chosen-path rule), and the document goes on to
    the child named by its min-wise token there.  The leaves ``depth`` levels down are the nodes that are compared.
    A node above ``node_limit`` rows branches further, a level at a time, up to ``max_depth``.
-3. Small nodes are compared exhaustively on sketches.  A larger node first links each member with its first member;
+3. Small nodes are compared exhaustively on sketches.  A larger node first links each member with its first and closest one;
    links are confirmed on full sets and joined into components; then all its pairs that lie in different components
-   are compared too.  So a group of thousands of copies costs a link each, and no pair that can still join two
-   components is left out.
+   are compared on full sets too, in blocks, and only links come out.  So a group of thousands of copies costs a link
+   or two each, and no pair that can still join two components is left out.
 4. Candidates are confirmed on their full sets, and connected components are taken of the confirmed links.
 
 With similarity .8, 12 trees of depth 4 miss a pair at exactly the threshold with a chance of about 3e-5.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from . import textsets as ts
 from ._shared import connected_components, remove, shared_dir, stored, tasks
 
-POSITIONS = 64
+POSITIONS = 128
+SKETCH = [f"s{k}" for k in range(1, POSITIONS // 32 + 1)]  # columns of the 2-bit sketch
 PER_LEVEL = 16  # positions that each level of a tree may choose from; levels of a path don't share any
 SMALL = 8  # nodes up to this size are compared exhaustively at once
+PAIRED = 8192  # in nodes up to this size each member is at first linked with its closest one, too
 
 
 def _choose(node: np.ndarray, level: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,23 +72,27 @@ def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float) -> list[n
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each of the 64 min-wise values, as two 64-bit words a row."""
-    two = (sig & np.uint32(3)).astype(np.uint64)
-    shift = (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, :]
-    return np.stack([(two[:, :32] << shift).sum(1, dtype=np.uint64), (two[:, 32:] << shift).sum(1, dtype=np.uint64)], 1)
+    """Two bits of each min-wise value, as 64-bit words of 32 values."""
+    two = (sig & np.uint32(3)).astype(np.uint64).reshape(len(sig), -1, 32)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 64 two-bit fields agree, by broadcasting over all but the last axis."""
+    """How many of the two-bit fields agree, by broadcasting over all but the last axis."""
     x = a ^ b
     x = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    return 64 - np.bitwise_count(x).sum(-1, dtype=np.int64)
+    return POSITIONS - np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
 def least_agreement(similarity: float) -> int:
     """Fields that a pair at the threshold agrees on, less four standard deviations."""
     p = similarity + (1 - similarity) / 4
-    return max(1, int(64 * p - 4 * (64 * p * (1 - p)) ** 0.5))
+    return max(1, int(POSITIONS * p - 4 * (POSITIONS * p * (1 - p)) ** 0.5))
+
+
+def _may_link(sk: np.ndarray, size: np.ndarray, other_sk: np.ndarray, other_size: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """Whether sketches agree enough and set sizes allow the similarity."""
+    return (agreeing(sk, other_sk) >= least) & (np.minimum(size, other_size) >= (similarity - 1e-9) * np.maximum(size, other_size))
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -97,8 +103,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def profile(documents: DataFrame, width: int, similarity: float, trees: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2, sig (packed 32-bit values), s1, s2 (sketch), nodes (leaf ids)."""
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, s1 long, s2 long, sig binary, nodes array<long>"
+    """doc_id, n_shingles, fp1, fp2, the sketch's columns, sig (packed 32-bit values), nodes (leaf ids)."""
+    schema = f"doc_id long, n_shingles long, fp1 long, fp2 long, {', '.join(f'{c} long' for c in SKETCH)}, sig binary, nodes array<long>"
 
     def run(batches):
         for batch in batches:
@@ -113,24 +119,25 @@ def profile(documents: DataFrame, width: int, similarity: float, trees: int, dep
                 offsets = np.concatenate(([0], np.cumsum([len(x) if len(s) else 0 for x, s in zip(nodes, sets, strict=True)]))).astype(np.int32)
                 yield pa.record_batch([
                     ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array(sk[:, 0]), pa.array(sk[:, 1]), pa.array([r.tobytes() for r in sig], pa.binary()),
+                    *(pa.array(c) for c in np.ascontiguousarray(sk.T)), pa.array([r.tobytes() for r in sig], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                ], names=["doc_id", "n_shingles", "fp1", "fp2", "s1", "s2", "sig", "nodes"])
+                ], names=["doc_id", "n_shingles", "fp1", "fp2", *SKETCH, "sig", "nodes"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _deepen(rows: DataFrame, sigs: DataFrame, level: int, similarity: float) -> DataFrame:
-    """One more level below nodes that are too large: node, doc, s1, s2."""
+    """One more level below nodes that are too large: rows like ``rows``."""
+    carried = ["doc", "n", *SKETCH]
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, POSITIONS)
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, POSITIONS)
                 node, row = branch(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(b.num_rows), sig, level, similarity)
-                yield pa.record_batch([pa.array(node.view(np.int64)), *(b.column(k).take(pa.array(row)) for k in (1, 2, 3))], names=["node", "doc", "s1", "s2"])
+                yield pa.record_batch([pa.array(node.view(np.int64)), *(b.column(k).take(pa.array(row)) for k in range(2, b.num_columns))], names=["node", *carried])
 
-    return rows.join(sigs, "doc").select("node", "doc", "s1", "s2", "sig").mapInArrow(run, "node long, doc long, s1 long, s2 long")
+    return rows.join(sigs, "doc").select("node", "sig", *carried).mapInArrow(run, ", ".join(f"{c} long" for c in ["node", *carried]))
 
 
 def _groups(batches, columns: int):
@@ -152,44 +159,123 @@ def _groups(batches, columns: int):
         yield rest
 
 
+def _closest(sk: np.ndarray, size: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """For each row the other row that may link with it and agrees most, -1 for none; a block of rows at a time."""
+    best = np.full(len(sk), -1)
+    block = max(1, (1 << 17) // len(sk))
+    for s in range(0, len(sk), block):
+        agree = agreeing(sk[s : s + block, None], sk[None])
+        fits = np.minimum(size[s : s + block, None], size) >= (similarity - 1e-9) * np.maximum(size[s : s + block, None], size)
+        agree[~fits] = 0
+        agree[np.arange(len(agree)), np.arange(s, s + len(agree))] = 0
+        top = agree.argmax(1)
+        ok = agree[np.arange(len(agree)), top] >= least
+        best[s : s + block][ok] = top[ok]
+    return best
+
+
 def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """kind 0: a candidate pair (a < b) ; kind 1: row of a larger node that is to be looked at again (a = node, b = doc)."""
+    """kind 0: a candidate pair (a < b); kind 1: a row of a larger node that is to be looked at again (a = node, b = doc)."""
     least = least_agreement(similarity)
+    names = ["kind", "a", "b", "n", *SKETCH]
 
     def run(batches):
-        for node, doc, s1, s2 in _groups(batches, 4):
-            sk = np.stack([s1, s2], 1).view(np.uint64)
+        for node, doc, n, *words in _groups(batches, 3 + len(SKETCH)):
+            sk = np.stack(words, 1).view(np.uint64)
             if len(doc) <= SMALL:
                 i, j = np.triu_indices(len(doc), 1)
-                ok = agreeing(sk[i], sk[j]) >= least
+                ok = _may_link(sk[i], n[i], sk[j], n[j], similarity, least)
                 i, j = i[ok], j[ok]
-                if len(i):
-                    yield pa.record_batch([pa.array(np.zeros(len(i), np.int8)), pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(s1[i]), pa.array(s2[i])], names=names)
-                continue
-            j = np.flatnonzero(agreeing(sk[1:], sk[:1]) >= least) + 1
-            kind = np.concatenate((np.zeros(len(j), np.int8), np.ones(len(doc), np.int8)))
-            yield pa.record_batch([pa.array(kind), pa.array(np.concatenate((np.full(len(j), doc[0]), node))), pa.array(np.concatenate((doc[j], doc))), pa.array(np.concatenate((s1[j], s1))), pa.array(np.concatenate((s2[j], s2)))], names=names)
-
-    names = ["kind", "a", "b", "s1", "s2"]
-    return nodes.mapInArrow(run, "kind byte, a long, b long, s1 long, s2 long")
-
-
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs of one node that lie in different components; rows: node, comp, doc, s1, s2, sorted."""
+                again = j[:0]
+            else:
+                j = np.flatnonzero(_may_link(sk[1:], n[1:], sk[:1], n[:1], similarity, least)) + 1
+                i, again = np.zeros(len(j), np.int64), np.arange(len(doc))
+                if len(doc) <= PAIRED:  # also each member with the one it agrees with most
+                    best = _closest(sk, n, similarity, least)
+                    again = np.flatnonzero(best >= 0)
+                    i, j = np.concatenate((i, again)), np.concatenate((j, best[again]))
+            if len(j) or len(again):
+                row = np.concatenate((j, again))
+                kind = np.repeat(np.array([0, 1], np.int8), [len(j), len(again)])
+                first = np.concatenate((np.minimum(doc[i], doc[j]), node[again]))
+                second = np.concatenate((np.maximum(doc[i], doc[j]), doc[again]))
+                yield pa.record_batch([pa.array(kind), pa.array(first), pa.array(second), pa.array(n[row]), *(pa.array(w[row]) for w in words)], names=names)
+
+    return nodes.mapInArrow(run, "kind byte, " + ", ".join(f"{c} long" for c in names[1:]))
+
+
+def _open(rows: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
+    """Rows that may still link with a row of another component of their node: cell, comp, doc, n, sketch.
+
+    ``rows``: node, comp, doc, n, sketch, sorted.  A cell is a node, or for more than ``cell_rows`` rows a pair of its blocks.
+    """
     least = least_agreement(similarity)
+    names = ["cell", "comp", "doc", "n", *SKETCH]
 
     def run(batches):
-        for _, comp, doc, s1, s2 in _groups(batches, 5):
-            sk = np.stack([s1, s2], 1).view(np.uint64)
+        for node, comp, doc, n, *words in _groups(batches, 4 + len(SKETCH)):
+            sk = np.stack(words, 1).view(np.uint64)
             label, counts = np.unique(comp, return_counts=True)
-            few = np.flatnonzero(comp != label[counts.argmax()])
-            for k in few:  # each member outside the largest component against all rows: linear memory
-                ok = (agreeing(sk, sk[k]) >= least) & (comp != comp[k])
-                j = np.flatnonzero(ok)
-                if len(j):
-                    yield pa.record_batch([pa.array(np.minimum(doc[j], doc[k])), pa.array(np.maximum(doc[j], doc[k]))], names=["a", "b"])
+            hit = np.zeros(len(doc), bool)
+            for k in np.flatnonzero(comp != label[counts.argmax()]):  # one row against all: linear memory
+                may = _may_link(sk, n, sk[k], n[k], similarity, least) & (comp != comp[k])
+                if may.any():
+                    hit |= may
+                    hit[k] = True
+            at = np.flatnonzero(hit)
+            blocks = -(-len(at) // cell_rows)
+            for p in range(blocks):
+                for q in range(p + (blocks > 1), max(blocks, p + 1)):
+                    some = np.concatenate([at[x * cell_rows : (x + 1) * cell_rows] for x in sorted({p, q})])
+                    cell = ts.mix(node[some].view(np.uint64) + np.uint64(p * 1_000_003 + q)).view(np.int64)
+                    yield pa.record_batch([pa.array(cell), pa.array(comp[some]), pa.array(doc[some]), pa.array(n[some]), *(pa.array(w[some]) for w in words)], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _links_across(cells: DataFrame, documents: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Confirmed links (a < b) between components of one cell; pairs within what is already joined are skipped.
+
+    ``cells`` as ``_open`` returns them.  Each document's set is made once and travels to its cells.
+    """
+    least, percent, names = least_agreement(similarity), round(similarity * 100), ["cell", "comp", "n", *SKETCH]
+    struct = ",".join(f"{c}:long" for c in names)
+    roles = cells.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("roles"))
+    sets = _sets(documents, roles, f"array<struct<{struct}>>", width)
+    dealt = sets.select("doc", "set", F.explode("roles").alias("r")).select("r.*", "doc", "set").repartition(tasks(cells.sparkSession), "cell").sortWithinPartitions("cell", "comp", "doc")
 
-    return rows.mapInArrow(run, "a long, b long")
+    def run(batches):
+        for _, comp, n, *words, doc, packed in _groups(batches, 5 + len(SKETCH)):
+            sk = np.stack(words, 1).view(np.uint64)
+            sets = [np.frombuffer(x, np.uint64) for x in packed]
+            label, comp, counts = np.unique(comp, return_inverse=True, return_counts=True)
+            largest, joined, found = counts.argmax(), np.arange(len(label)), []
+            for k in np.flatnonzero(comp != largest):
+                other = (comp == largest) | (np.arange(len(doc)) > k)
+                for j in np.flatnonzero(_may_link(sk, n, sk[k], n[k], similarity, least) & other):
+                    if joined[comp[j]] != joined[comp[k]]:
+                        both = _common(sets[k], sets[j])
+                        if both and 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
+                            joined[joined == joined[comp[j]]] = joined[comp[k]]
+                            found.append((min(doc[k], doc[j]), max(doc[k], doc[j])))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _sets(documents: DataFrame, roles: DataFrame, kind: str, width: int) -> DataFrame:
+    """doc, set (sorted shingle hashes), roles for each document of ``roles``."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(roles.hint("shuffle_hash"), "doc")
+
+    def run(batches):
+        for b in batches:
+            for begin, found in ts.text_batches(b.column(1)):
+                packed = [s.tobytes() for s in ts.shingle_sets(found, width)]
+                yield pa.record_batch([b.column(0).slice(begin, len(found)), pa.array(packed, pa.binary()), b.column(2).slice(begin, len(found))], names=["doc", "set", "roles"])
+
+    return texts.select("doc", "text", "roles").mapInArrow(run, f"doc long, set binary, roles {kind}")
 
 
 def _verify(pairs: DataFrame, documents: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -201,15 +287,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, width: int, similarity: floa
     member = pairs.join(led, "a").select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("member"))
     lead = led.select(F.col("a").alias("doc"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
     roles = member.unionAll(lead).groupBy("doc").agg(F.collect_list(F.struct("lead", "part", "member")).alias("roles"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(roles.hint("shuffle_hash"), "doc")
-
-    def to_sets(batches):
-        for b in batches:
-            for begin, found in ts.text_batches(b.column(1)):
-                sets = [s.tobytes() for s in ts.shingle_sets(found, width)]
-                yield pa.record_batch([b.column(0).slice(begin, len(found)), pa.array(sets, pa.binary()), b.column(2).slice(begin, len(found))], names=["doc", "set", "roles"])
-
-    sets = texts.select("doc", "text", "roles").mapInArrow(to_sets, "doc long, set binary, roles array<struct<lead:long,part:long,member:int>>")
+    sets = _sets(documents, roles, "array<struct<lead:long,part:long,member:int>>", width)
     dealt = sets.select("doc", "set", F.explode("roles").alias("r")).select("r.lead", "r.part", "r.member", "doc", "set")
     dealt = dealt.repartition(n, "lead", "part").sortWithinPartitions("lead", "part", "member", "doc")
 
@@ -239,7 +317,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(x) else 0
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 12, depth: int = 4, node_limit: int = 4096, max_depth: int = 12) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 12, depth: int = 4, node_limit: int = 4096, max_depth: int = 12, cell_rows: int = 2048) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id it reaches), kept."""
     spark = documents.sparkSession
     shared_dir(spark)
@@ -247,7 +325,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     base, _ = stored(profile(documents, width, similarity, trees, depth), "profile")
     reps = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc"))
     own = base.where("n_shingles > 0").join(reps, ["fp1", "fp2", "n_shingles"]).where("doc_id = doc")
-    rows = own.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", "s1", "s2")
+    rows = own.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", F.col("n_shingles").alias("n"), *SKETCH)
     parts, level, paths = [], depth, []
     for _ in range(max_depth - depth):
         big = rows.groupBy("node").count().where(F.col("count") > node_limit).select("node")
@@ -260,18 +338,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
         level += 1
     for p in parts:
         rows = rows.unionAll(p)
-    nodes = rows.select("node", "doc", "s1", "s2").repartition(n, "node").sortWithinPartitions("node", "doc")
+    nodes = rows.select("node", "doc", "n", *SKETCH).repartition(n, "node").sortWithinPartitions("node", "doc")
     found, found_path = stored(_candidates(nodes, similarity), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     links, links_path = stored(_verify(pairs, documents, width, similarity), "links")
-    again = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("doc"), "s1", "s2")
+    again = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("doc"), "n", *SKETCH)
     if not again.isEmpty():
         comps = connected_components(links)
         labelled = again.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        open_rows = labelled.join(mixed, "node").select("node", "comp", "doc", "s1", "s2").repartition(n, "node").sortWithinPartitions("node", "comp", "doc")
-        more = _across(open_rows, similarity).distinct().join(pairs, ["a", "b"], "left_anti")
-        links, _ = stored(links.unionAll(_verify(more, documents, width, similarity)), "links")
+        open_rows = labelled.join(mixed, "node").select("node", "comp", "doc", "n", *SKETCH).repartition(n, "node").sortWithinPartitions("node", "comp", "doc")
+        cells, cells_path = stored(_open(open_rows, similarity, cell_rows), "cells")
+        paths.append(cells_path)
+        links, _ = stored(links.unionAll(_links_across(cells, documents, width, similarity)), "links")
         remove(spark, links_path)
     label = connected_components(links).withColumnRenamed("node", "doc")
     remove(spark, found_path, *paths)

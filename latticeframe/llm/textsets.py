@@ -33,7 +33,7 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse, at least ``n`` of each."""
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n >> 20) + 1 << 20
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -102,7 +102,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def text_batches(column, most: int = 1 << 22):
+def text_batches(column, most: int = 1 << 20):
     """Runs of row positions of an Arrow string column with at most ``most`` bytes each (one long text may be more)."""
     texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
     begin, size = 0, 0

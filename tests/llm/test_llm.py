@@ -120,7 +120,7 @@ def variants(seed, groups=6, size=9):
 def test_near_duplicates_against_brute_force(spark, limit):
     texts = variants(1) | {1000 + k: t for k, t in enumerate(variants(2, 2, 20).values())}
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width=2, node_limit=limit).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width=2, node_limit=limit, cell_rows=limit).collect()}
     assert got == components(texts, 2)
 
 
