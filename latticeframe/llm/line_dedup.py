@@ -43,9 +43,9 @@ def dropped_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, row, pos of the lines to drop; ``documents`` has doc_id, row and text."""
     spark = documents.sparkSession
     n = tasks(spark)
-    lines = _occurrences(documents, min_chars)
+    lines, _ = stored(_occurrences(documents, min_chars), "lines")  # hashes and positions; read by each step below
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max(F.col("doc_id").isNull()).alias("null_first"))
-    total = documents.agg(F.sum(F.size(lines_of(F.col("text"))))).first()[0] or 0
+    total = lines.count()
     hot, _ = stored(counts.where(F.col("n") > max(1000, total // (4 * n))).select("h1", "h2", F.col("first_doc"), "null_first"), "hot-lines")
     marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
     by_hot = marked.where("doc_id > first_doc OR (null_first AND doc_id IS NOT NULL)").select("doc_id", "row", "pos")
