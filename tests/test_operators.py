@@ -86,3 +86,32 @@ def test_cell_index(spark, tmp_path):
         want = {r.id for r in search.nearest(exact, x[k].tolist(), 10).collect()}
         hits += len(want & {r.id for r in index.search(spark, x[k].tolist(), 10, 3).collect()})
     assert hits / 50 > 0.95
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(0, 10**6))
+def test_both_access_paths_agree_with_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 12
+    x = rng.normal(size=(n, 4)).astype(np.float32).tolist()
+    points = [[(int(a), int(v)) for a, v in rng.integers(0, 10, (rng.integers(0, 3), 2))] for _ in range(n)]
+    links = {(int(a), int(b), int(t)) for a, b, t in zip(rng.integers(0, n, 30), rng.integers(0, n + 2, 30), rng.integers(0, 2, 30), strict=True)}
+    nodes = search.quantized(spark.createDataFrame([(k, x[k], points[k]) for k in range(n)], "id long, embedding array<float>, points array<struct<assertion_time:long,valid_time:long>>"))
+    edges = spark.createDataFrame(sorted(links), "src long, dst long, edge_type int")
+    hops, kind = int(rng.integers(0, 4)), [None, 0, 1][rng.integers(0, 3)]
+    depth, front = {0: 0}, {0}
+    for h in range(1, hops + 1):
+        front = {b for a, b, t in links if a in front and b < n and kind in (None, t)} - set(depth)
+        depth |= dict.fromkeys(front, h)
+    code = [V.quantize(v)[0] for v in x]
+    q, _ = V.quantize(x[0])
+
+    def cosine(k):
+        a, b = sum(c * c for c in code[k]), sum(c * c for c in q)
+        return sum(c * d for c, d in zip(code[k], q, strict=True)) / (a**0.5 * b**0.5)
+
+    want = sorted(((-cosine(k), d, k) for k, d in depth.items() if cosine(k) >= -0.2 and any(a < 7 and v <= 6 for a, v in points[k])))
+    start = nodes.where("id = 0").select("id")
+    for path in (hybrid.graph_first, hybrid.vector_first):
+        got = [(r.id, r.depth) for r in path(nodes, edges, start, x[0], -0.2, 7, 6, hops, kind).collect()]
+        assert got == [(k, d) for _, d, k in want]
