@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="latticeframe-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+from ..tables import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

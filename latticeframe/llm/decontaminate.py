@@ -31,8 +31,8 @@ from . import textsets as ts
 CLASSES = 4096  # words with equal lowest bits share a walk's random bits
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return ts.words([t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts], ts.PUNCTUATION)
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    return ts.words([t.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts], ts.PUNCTUATION)
 
 
 def _grams(ids: np.ndarray, q: int) -> np.ndarray:
@@ -46,7 +46,7 @@ class Matcher:
     """The items of one slice: seeds, hash tables and exact verification."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, embeddings: int, tables: int, places: int, seed: int = 11):
-        w, at = _words([t for _, t in items])
+        w, at = _words([t.encode() if t else None for _, t in items])
         keep = [k for k in range(len(items)) if at[k + 1] - at[k] >= min_words]
         self.item_id = [items[k][0] for k in keep]
         self.vocabulary = np.unique(w)
@@ -113,7 +113,7 @@ class Matcher:
             row = new
         return best, end
 
-    def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+    def find(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, end word) of the verified windows, the best of each text and item."""
         if not self.items:
             return []
@@ -173,18 +173,11 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, similarity: float
         def run(batches):
             matcher = shared.value
             for b in batches:
-                texts = b.column(1).to_pylist()
-                begin = 0
-                while begin < len(texts):
-                    stop, size = begin, 0
-                    while stop < len(texts) and (stop == begin or size + len(texts[stop] or "") <= 1 << 23):
-                        size += len(texts[stop] or "")
-                        stop += 1
-                    found = matcher.find(texts[begin:stop])
+                for begin, texts in ts.text_batches(b.column(1), rows=4096):
+                    found = matcher.find(texts)
                     ids = b.column(0).take(pa.array([begin + f[0] for f in found], pa.int64()))
                     item = pa.array([matcher.item_id[f[1]] for f in found], pa.int64())
                     yield pa.record_batch([ids, item, *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3)), pa.array([int(matcher.size[f[1]]) for f in found], pa.int32())], names=["doc_id", "item_id", "distance", "end_word", "item_words"])
-                    begin = stop
 
         return run
 

@@ -12,10 +12,11 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,20 +132,13 @@ def identify(documents: DataFrame, learn_from=None, per_language: int = 200, lon
     learn_from = F.lit(True) if learn_from is None else learn_from
     model = fit(labelled_sample(documents, learn_from, per_language, longest), landmarks_per_language)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in documents.schema.fields if f.name not in ("lang_pred", "score")]
-    kept = documents.select(*(F.col(f"`{f.name}`") for f in fields))
-    at = [f.name for f in fields].index("text")
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    for f in schema.fields:
-        f.nullable = True
-
-    def run(batches):
+
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, seen = shared.value, np.zeros(SCRATCH, np.uint8)
-        for b in batches:
-            texts = b.column(at)
-            guess, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            for begin in range(0, b.num_rows if model else 0, 256):
-                some = texts.slice(begin, 256).to_pylist()
+        for texts in batches:
+            guess, score = ["und"] * len(texts), np.zeros(len(texts))
+            for begin in range(0, len(texts) if model else 0, 256):
+                some = texts.iloc[begin : begin + 256].tolist()
                 live = [k for k, t in enumerate(some) if t and any(map(str.isalpha, t))]
                 if live:
                     out = _features([grams(some[k], model.symbol, seen) for k in live], model) @ model.weights
@@ -152,9 +146,16 @@ def identify(documents: DataFrame, learn_from=None, per_language: int = 200, lon
                     p /= p.sum(1, keepdims=True)
                     for k, best, s in zip(live, out.argmax(1), p.max(1), strict=True):
                         guess[begin + k], score[begin + k] = model.languages[best], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(guess, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
-
-    return kept.mapInArrow(run, schema)
+            yield pd.DataFrame({"lang_pred": guess, "score": score})
+
+    # only texts go to Python; nondeterministic, so that a filter on the result doesn't run it twice
+    udf = F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()
+    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    name = "prediction"
+    while name in kept:
+        name += "_"
+    out = documents.select(*(F.col(f"`{c}`") for c in kept), udf(F.col("text")).alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
 
 
 def is_held_out():

@@ -7,6 +7,7 @@ Sixty-four bits tell the words and shingles of any corpus this library can hold
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,14 +103,20 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def text_batches(column, most: int = 1 << 20):
-    """Runs of row positions of an Arrow string column with at most ``most`` bytes each (one long text may be more)."""
-    texts = [None if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > begin and size + len(t or b"") > most:
-            yield begin, texts[begin:k]
-            begin, size = k, 0
+def text_batches(column, most: int = 1 << 20, rows: int = 256):
+    """Runs of an Arrow string column, as (first row, texts as bytes), of about ``most`` bytes and at most ``rows`` rows.
+
+    One text longer than ``most`` is a run of its own.  Only one run is held at a time.
+    """
+    begin, size, held = 0, 0, []
+    for k, x in enumerate(column):
+        x = x.as_py()
+        t = None if x is None else x.encode("utf-8", "surrogatepass")
+        if held and (size + len(t or b"") > most or len(held) == rows):
+            yield begin, held
+            begin, size, held = k, 0, []
+        held.append(t)
         size += len(t or b"")
-    if begin < len(texts):
-        yield begin, texts[begin:]
+    if held:
+        yield begin, held
+    pa.default_memory_pool().release_unused()

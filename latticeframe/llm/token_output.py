@@ -135,7 +135,7 @@ class Encoder:
     The memory is two generations of at most ``most`` pieces each.
     """
 
-    def __init__(self, path: str, pieces: bool, most: int = 300_000):
+    def __init__(self, path: str, pieces: bool, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are dealt by Spark
         from tokenizers import Tokenizer
 
