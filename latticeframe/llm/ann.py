@@ -7,11 +7,11 @@ all centres are solved for at once.  Every row is encoded.
 
 Queries are dealt in chunks against blocks of rows (a stated query set against all rows).  Within a block each query
 has a table of inner products with all centres, kept as 8-bit numbers; scanning adds one table entry a code.  The best
-``rerank`` rows of a block by that sum are scored exactly, in double precision, on their original vectors; the
-best ``k`` of a block go on, and the last step takes the best k over all blocks.
+``rerank`` different vectors of a block by that sum are scored exactly, in double precision, as they came; the
+best ``k`` rows of a block go on, and the last step takes the best k over all blocks.
 
-Equal vectors have equal codes and equal sums; ties go to the smaller vec_id all the way, so groups of copies
-of any size give the right ids.
+Equal vectors of a block are folded before the scan and take one place of the ``rerank``; their rows come back after
+the exact scores, smaller vec_ids first, so groups of copies of any size shut nothing out and give the right ids.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another length than
 the table's most common one take no part; a null vec_id takes no part; repeated vec_ids are candidates each but for
@@ -185,12 +185,27 @@ def _joined(held):
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), sum(h[2] for h in held)
 
 
+def _fold(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal vectors as one: the first row of each, the rows of all groups one group after another, and where each begins."""
+    flat = np.ascontiguousarray(rows + 0)  # negative zeros become zeros
+    _, first, group = np.unique(flat.view(np.dtype((np.void, flat.itemsize * flat.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    at = np.empty(len(first), np.int64)
+    at[order] = np.arange(len(first))
+    group = at[group]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(group))))
+    return first[order], np.argsort(group, kind="stable"), begin
+
+
 def _search_block(book: Codebook, query_ids, queries, ids, rows, k: int, rerank: int):
     if not len(query_ids) or not len(ids):
         return
-    codes = book.encode(rows.astype(np.float32))
-    place = np.arange(len(ids), dtype=np.int64)
-    take = min(max(rerank, 2 * k), len(ids))
+    first, member, begins = _fold(rows)
+    # a query's own id is left out, so so many of the smallest ids of a group hold its k best
+    size = np.minimum(np.diff(begins), k + int(np.unique(ids, return_counts=True)[1].max()))
+    codes = book.encode(rows[first].astype(np.float32))
+    place = np.arange(len(first), dtype=np.int64)
+    take = min(max(rerank, 2 * k), len(first))
     for begin in range(0, len(query_ids), 128):
         found = []
         some = queries[begin : begin + 128]
@@ -198,10 +213,12 @@ def _search_block(book: Codebook, query_ids, queries, ids, rows, k: int, rerank:
         key = (scan(some, codes, book.centres).astype(np.int64) << 32) - place
         for q, own, order in zip(some, query_ids[begin : begin + 128], key, strict=True):
             near = np.argpartition(order, len(order) - take)[len(order) - take :] if take < len(order) else place
-            near = np.sort(near[ids[near] != own])
-            score = exact_scores(q, rows[near])
-            top = np.lexsort((ids[near], -score))[:k]
-            found.append((np.full(len(top), own), ids[near[top]], score[top]))
+            n = size[near]
+            at = member[np.repeat(begins[near] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            score = np.repeat(exact_scores(q, rows[first[near]]), n)
+            at, score = at[ids[at] != own], score[ids[at] != own]
+            top = np.lexsort((ids[at], -score))[:k]
+            found.append((np.full(len(top), own), ids[at[top]], score[top]))
         yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
 

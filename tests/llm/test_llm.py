@@ -379,6 +379,30 @@ def test_search_recall_and_ties(spark):
     assert few.count() == 4 and ann.search(df.where("false"), df.where("false")).count() == 0
 
 
+def copies_recall(x, query_ids, k=20):
+    """Recall in one block, by query, against exact scores; queries are rows of ``x``."""
+    book, ids = ann.fit(x[:: max(1, len(x) // 4000)]), np.arange(len(x))
+    got = {int(q): [] for q in query_ids}
+    for b in ann._search_block(book, query_ids, x[query_ids], ids, x, k, 200):
+        for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[q].append(v)
+    out = []
+    for q, found in got.items():
+        score = ann.exact_scores(x[q], x)
+        want = [i for i in np.lexsort((ids, -score)) if i != q][:k]
+        out.append(len(set(found) & set(want)) / k)
+    return np.array(out)
+
+
+def test_copies_shut_no_nearer_rows_out():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(16384, 32)).astype(np.float32)
+    x[:5461] = x[0]  # a third of a full block
+    x[5461:5661] = x[0] + 0.6 * rng.normal(size=(200, 32))  # near the copied vector, some nearer to the queries than it
+    recall = copies_recall(x, np.arange(5461, 5661, 4))
+    assert recall.mean() >= 0.99 and recall.min() >= 0.95
+
+
 # the pipeline
 
 
