@@ -266,11 +266,20 @@ def get_as_of_point(spark, sf_dir):
 
 @_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id WHERE p.event_id % 20 = 0) WHERE n = 1", "records"))
 def as_of_join(spark, sf_dir):
-    e = _read(spark, sf_dir, "events").where(F.col("event_id") % 20 == 0)
+    """The probes that its SQL names, one event in twenty; ``as_of_join_all`` probes with every event."""
+    return _as_of(spark, sf_dir, _read(spark, sf_dir, "events").where(F.col("event_id") % 20 == 0))
+
+
+def _as_of(spark, sf_dir, e: DataFrame) -> DataFrame:
     probes = e.select(F.col("event_id").alias("probe_id"), F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("known_by"))
     return temporal.as_of_join(probes, records(spark, sf_dir))
 
 
+@_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id) WHERE n = 1", "records"))
+def as_of_join_all(spark, sf_dir):
+    return _as_of(spark, sf_dir, _read(spark, sf_dir, "events"))
+
+
 @_query(_with(f"SELECT key, value, valid_from, valid_to, asserted_at FROM records WHERE valid_from <= {_AT} AND {_AT} < valid_to", "records"))
 def valid_interval_scan(spark, sf_dir):
     return temporal.valid_at(records(spark, sf_dir), _AT).select(*temporal.RECORD)
