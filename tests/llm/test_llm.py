@@ -299,6 +299,35 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_targets_of_rare_sources(spark):
+    rows = [(k, "w " * (1 + k % 5), ["en", "fr"][k // 80 % 2], f"s{min(k % 80, 70)}") for k in range(12000)]  # 71 sources
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    n = mixing.token_count(F.col("text"))
+    targets = {"source": {"s5": 0.1, "s64": 0.05}}
+    weights = {}
+    for driver_cells in (1 << 17, 10):  # on the driver, and in the shared folder
+        for options in ({"targets": targets}, {"targets": targets, "budget": 0.3}, {"most": 3, "targets": targets}, {}):
+            if driver_cells == 10 and "budget" not in options:
+                continue
+            rates = mixing.calibrate(docs, n, mixing.form_topic(F.col("text")), driver_cells=driver_cells, **options)[0].collect()
+            share = {}
+            for r in rates:
+                share[r.source] = share.get(r.source, 0) + r.weight
+            if "targets" in options:
+                assert abs(share["s5"] - 0.1) < 1e-6 and abs(share["s64"] - 0.05) < 1e-6
+            if "budget" in options:
+                assert abs(sum(r.rate * r.tokens for r in rates) / sum(r.tokens for r in rates) - 0.3) < 1e-6
+            if "most" not in options:
+                assert len(share) == 71
+                got = {(r.source, r.lang, r.topic): (r.tokens, r.weight, r.rate) for r in rates}
+                want = weights.setdefault(str(options), got)
+                assert set(want) == set(got) and all(np.allclose(want[c], got[c], rtol=1e-6) for c in got)
+    drawn = mixing.mix(docs, targets=targets).groupBy("source").agg(F.sum(n).alias("n")).collect()
+    assert abs(sum(r.n for r in drawn if r.source == "s5") / sum(r.n for r in drawn) - 0.1) < 0.03
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"source": {"nowhere": 0.1}})
+
+
 # tokens
 
 
