@@ -124,6 +124,23 @@ def test_near_duplicates_against_brute_force(spark, limit):
     assert got == components(texts, 2)
 
 
+def test_trees_have_their_own_positions():
+    sig = np.arange(2 * near_dedup.POSITIONS, dtype=np.uint32).reshape(2, -1)
+    sig[1, 16:] = sig[0, 16:]  # only the first 16 positions differ
+    a, b = near_dedup.leaves(sig, 12, 4, 0.8)
+    assert set(a.tolist()) & set(b.tolist())
+
+
+def test_all_pairs_of_a_large_node_meet(spark):
+    names = ["node", "comp", "doc", "n", *near_dedup.SKETCH, "count"]
+    rows = spark.createDataFrame([(7, k, k, 9, *[0] * len(near_dedup.SKETCH), 50) for k in range(50)], ", ".join(f"{c} long" for c in names))
+    cells = {}
+    for r in near_dedup._in_pairs(rows, 4).collect():
+        cells.setdefault(r.node, set()).add(r.doc)
+    assert {(a, b) for c in cells.values() for a in c for b in c if a < b} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
+    assert max(map(len, cells.values())) < 30
+
+
 def test_near_duplicates_awkward(spark, awkward, empty):
     got = near_dedup.near_duplicates(awkward, width=2).collect()
     assert len(got) == len(AWKWARD)
