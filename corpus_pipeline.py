@@ -19,8 +19,12 @@ from latticeframe.llm.token_output import tokens_round_trip, word_tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter: no language can be told for them."""
-    return identify(docs).where(F.col("lang_pred") != "und").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Rejects documents without any letter, and only those: neither the language that is told nor its score rejects any.
+
+    Where no model can be fitted all are ``und``; those with a letter stay.
+    """
+    kept = (F.col("lang_pred") != "und") | F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    return identify(docs).where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

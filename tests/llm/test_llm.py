@@ -452,6 +452,13 @@ def test_copies_shut_no_nearer_rows_out():
 # the pipeline
 
 
+def test_unlabelled_documents_pass_the_first_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "words of a text", None), (2, "12 34", None), (3, None, None), (4, "слово", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 4]
+
+
 def test_pipeline(spark, tmp_path, awkward):
     import corpus_pipeline
 
