@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from ..tables import fresh_path, remove, scratch, shared_dir  # noqa: F401
+from ..tables import kept as stored
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+BATCH_BYTES, DEFAULT_BYTES = 1 << 23, "67108864b"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, where the session leaves the default of 64 MB: JVM and worker hold some of them each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def tasks(spark: SparkSession) -> int:

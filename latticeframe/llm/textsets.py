@@ -14,6 +14,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+CHUNK = 1 << 20  # bytes that are worked on at a time
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -33,13 +34,16 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = (n >> 20) + 1 << 20
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, CHUNK + 1), base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if n <= CHUNK + 1:  # longer ones, for a single word of that size, are not kept
+        _powers[:] = out
+    return out[0], out[1]
 
 
 PUNCTUATION = SPACE.copy()
@@ -50,21 +54,35 @@ def words(texts: list[bytes | None], gaps: np.ndarray = SPACE) -> tuple[np.ndarr
     """Hashes of all words of ``texts`` in order, and where each text's words begin (one more entry than texts).
 
     Words are maximal runs of bytes that ``gaps`` (a table over bytes, ASCII white space by default) doesn't hold,
-    with A-Z lower-cased.
+    with A-Z lower-cased.  Bytes are worked off in chunks that end in a gap, so working memory doesn't grow with a text.
     """
     sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
     data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    gap = gaps[data]
-    edge = np.diff(gap.view(np.int8), prepend=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
+    found, starts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK)
+        while end < len(data) and not gaps[data[end - 1]]:
+            gap = np.flatnonzero(gaps[data[at:end]])
+            if len(gap):
+                end = at + int(gap[-1]) + 1
+            else:  # a word that fills the chunk
+                end = min(len(data), at + 2 * (end - at))
+        hashes, start = _chunk(data[at:end], gaps)
+        found.append(hashes)
+        starts.append(start + at)
+        at = end
+    return np.concatenate(found), np.searchsorted(np.concatenate(starts), first)
+
+
+def _chunk(data: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of bytes that end in a gap, or with the last text."""
+    edge = np.diff(gaps[data].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE[LOWER[data]] * power[: len(data)], out=total[1:])
-    if len(start) and start[0] == 0:
-        end = end[-len(start):]
-    found = (total[end] - total[start]) * inverse[start]
-    return mix(found + (end - start).astype(np.uint64)), np.searchsorted(start, first)
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -78,10 +96,10 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         if e - s >= width:
             out.append(np.unique(grams[s : e - width + 1]))
         elif e > s:
-            whole = w[s]
-            for x in w[s + 1 : e]:
-                whole = mix(np.array([whole * np.uint64(0x9E3779B97F4A7C15) + x]))[0]
-            out.append(mix(np.array([whole ^ np.uint64(e - s)])))
+            whole = w[s : s + 1]
+            for k in range(s + 1, e):  # fewer than ``width``
+                whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + w[k : k + 1])
+            out.append(mix(whole ^ np.uint64(e - s)))
         else:
             out.append(w[:0])
     return out
