@@ -3,14 +3,16 @@
 Documents are range-partitioned by doc_id and sorted, each task encodes its run and writes shard files of at most
 ``shard_tokens`` ids (or one longer document).  A shard file holds a header, the doc_ids, the Elias-Fano coded
 boundaries with one select sample for each 256 ones, and the concatenated ids at 2 or 4 bytes each.  The start of
-document i is select(i) on the coded bits: no table of 64-bit offsets exists.  Shards are named by their place in the order; where
-a shard begins among all ids follows from a prefix sum over shard lengths, in two levels.
+document i is select(i) on the coded bits: no table of 64-bit offsets exists, on disk or in memory.  Shards are named by
+their place in the order; where a shard begins among all ids follows from a prefix sum over shard lengths, in two levels.
 
 A task writes a shard to a name of its own and renames it at the end, so a task that runs again replaces its shard by
-the same bytes.  Files are written through pyarrow's file systems, at a path that all executors reach.
+the same bytes.  Readers get names and starts; a worker opens one shard at a time and reads its ids in runs of about
+``RUN`` bytes.  Files go through pyarrow's file systems, at a path that all executors reach.
 
 Edge cases: a null or empty text has no ids but the end id; null doc_ids come first; repeated doc_ids stay, in the
-order of their texts' hashes; an empty table gives no shards and no rows; further columns are ignored.
+order of their texts' hashes and texts; a text of any length is one document, and a shard of its own beyond
+``shard_tokens``; an empty table gives no shards and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, tasks
+from ._shared import bounded_batches, fresh_path, tasks
 
 MAGIC = b"LFTOK001"
 SAMPLE = 256
 NULL_ID = -(1 << 63)
+RUN = 1 << 20  # bytes of ids that a reader holds
+HEAD = struct.Struct("<BBHQQQQQ")
 
 
 class EliasFano:
@@ -73,7 +77,9 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         place = byte * 8 + (word & -word).bit_length() - 1
-        return (place - i << self.low_bits) + int(self._low(np.array([i]))[0])
+        begin = i * self.low_bits
+        low = int.from_bytes(self.low[begin >> 3 : (begin + self.low_bits + 7) >> 3].tobytes(), "little") >> (begin & 7)
+        return (place - i << self.low_bits) + (low & (1 << self.low_bits) - 1)
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -85,26 +91,41 @@ def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabu
     ef = EliasFano.encode(np.concatenate(([0], np.cumsum(lengths))))
     wide = vocabulary > 1 << 16
     body = ids.astype("<u4" if wide else "<u2").tobytes()
-    head = MAGIC + struct.pack("<BBHQQQQQ", 4 if wide else 2, ef.low_bits, 0, len(doc_ids), len(ids), len(ef.low), len(ef.high), len(ef.samples))
+    head = MAGIC + HEAD.pack(4 if wide else 2, ef.low_bits, 0, len(doc_ids), len(ids), len(ef.low), len(ef.high), len(ef.samples))
     return head + doc_ids.astype("<i8").tobytes() + ef.low.tobytes() + ef.high.tobytes() + ef.samples.astype("<u4").tobytes() + body
 
 
-def open_shard(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
-    """doc_ids, boundaries (one entry more than documents) and the id array of a shard; arrays are views of ``data``."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token shard")
-    size, width, _, docs, tokens, low, high, samples = struct.unpack_from("<BBHQQQQQ", data, 8)
-    at = 8 + struct.calcsize("<BBHQQQQQ")
-    take = lambda kind, n: np.frombuffer(data, kind, n, at)
-    doc_ids = take("<i8", docs)
-    at += 8 * docs
-    lo = take(np.uint8, low)
-    at += low
-    hi = take(np.uint8, high)
-    at += high
-    sampled = take("<u4", samples)
-    at += 4 * samples
-    return doc_ids, EliasFano(docs + 1, width, lo, hi, sampled), take("<u4" if size == 4 else "<u2", tokens)
+class Shard:
+    """A shard's index in memory, its ids read in runs as they are asked for."""
+
+    def __init__(self, file):
+        self.file, head = file, file.read(8 + HEAD.size)
+        if head[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        size, width, _, docs, self.tokens, low, high, samples = HEAD.unpack_from(head, 8)
+        self.kind = np.dtype("<u4" if size == 4 else "<u2")
+        index = file.read(8 * docs + low + high + 4 * samples)
+        self.doc_ids = np.frombuffer(index, "<i8", docs)
+        lo, hi = np.frombuffer(index, np.uint8, low, 8 * docs), np.frombuffer(index, np.uint8, high, 8 * docs + low)
+        self.ends = EliasFano(docs + 1, width, lo, hi, np.frombuffer(index, "<u4", samples, 8 * docs + low + high))
+        self.body = len(head) + len(index)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        self.file.seek(self.body + start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((end - start) * self.kind.itemsize), self.kind)
+
+    def documents(self):
+        """(doc_id, start, ids) of all documents in order; starts come from select."""
+        first = last = 0
+        run = np.empty(0, self.kind)
+        start = self.ends.select(0) if len(self.doc_ids) else 0
+        for i, doc in enumerate(self.doc_ids.tolist()):
+            end = self.ends.select(i + 1)
+            if end > last:
+                first, last = start, min(self.tokens, max(end, start + RUN // self.kind.itemsize))
+                run = self.ids(first, last)
+            yield doc, start, run[start - first : end - first]
+            start = end
 
 
 #: Between a letter and a punctuation mark other than an apostrophe.
@@ -112,30 +133,52 @@ _EDGE = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 _encoders: dict = {}
 
 
+#: Fixed values of the tokenizers whose pieces are independent: how they normalise and cut a text.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PIECE_BYTES, MEMORY_BYTES, ENTRY_BYTES = 32, 1 << 25, 200
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's own definition says that no id depends on text across a space, nor from a letter to a mark.
+
+    It does if the text is put in composed form, white space folded and letters lowered one by one, and is then cut
+    in runs of letters, single digits and runs of other marks, by the fixed pattern above.  A space, a line feed or a
+    mark never composes with the ASCII letter or space before it.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        rule = json.load(f)
+    cut = ((rule.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (rule.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and cut.get("type") == "Split" and cut.get("pattern") == {"Regex": _CUT} and cut.get("behavior") == "Removed" and cut.get("invert") is True and rule.get("post_processor") is None
+
+
 class Memory(dict):
-    """Ids of pieces as bytes; a missing piece is taken from the former generation or encoded."""
+    """Ids of short pieces as bytes; a missing piece is taken from the former generation or encoded.  Counts its own bytes."""
 
     def __init__(self, encode, kind: str, former: dict):
-        self.encode, self.kind, self.former = encode, kind, former
+        self.encode, self.kind, self.former, self.held = encode, kind, former, 0
 
     def __missing__(self, piece: bytes) -> bytes:
         found = self.former.get(piece)
         if found is None:
             found = array(self.kind, self.encode(piece.decode())).tobytes()
-        self[piece] = found
+        if len(piece) <= PIECE_BYTES:
+            self[piece] = found
+            self.held += len(piece) + len(found) + ENTRY_BYTES
         return found
 
 
 class Encoder:
     """The tokenizer over whole texts, remembering the ids of pieces between spaces.
 
-    ``pieces`` may be set for tokenizers that fold case and whose normaliser and pre-tokeniser never look across a space
-    or a line feed, nor from a letter to an ASCII mark other than an apostrophe; the first texts of every worker are encoded both ways
-    to check that.  A text that holds a special token's string goes to the library whole.  Ids are always the library's own.
-    The memory is two generations of at most ``most`` pieces each.
+    ``pieces`` takes effect for tokenizers whose definition allows it (``cuts_at_spaces``); all others, and texts that hold a
+    special token's string, go to the library whole.  Ids are always the library's own.  The memory is two generations
+    of pieces of at most PIECE_BYTES, together at most ``budget`` bytes; longer pieces are encoded each time.
     """
 
-    def __init__(self, path: str, pieces: bool, most: int = 300_000):
+    def __init__(self, path: str, pieces: bool, budget: int = MEMORY_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors' cores are dealt by Spark
         from tokenizers import Tokenizer
 
@@ -143,7 +186,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.most, self.checks = pieces, most, 8
+        self.pieces, self.budget = pieces and cuts_at_spaces(path), budget
         self.known = self._generation({})
 
     def _generation(self, former: dict) -> Memory:
@@ -153,9 +196,13 @@ class Encoder:
     def of(cls, path: str, pieces: bool) -> Encoder:
         """One encoder for each worker process, so that tasks share what it remembers."""
         if (path, pieces) not in _encoders:
+            _encoders.clear()
             _encoders[path, pieces] = cls(path, pieces)
         return _encoders[path, pieces]
 
+    def memory(self) -> int:
+        return self.known.held + getattr(self.known.former, "held", 0)
+
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -163,22 +210,23 @@ class Encoder:
         data = text.encode().lower() if self.pieces else b""
         if not self.pieces or any(s in data for s in self.special):
             return np.array(self._whole(text), self.kind)
-        if len(self.known) > self.most:
-            former, self.known.former = self.known, {}
-            self.known = self._generation(former)
-        parts = _EDGE.sub(b" ", data).replace(b"\n", b" ").split(b" ")
-        out = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), self.kind)
-        if self.checks and len(text) < 100_000:
-            self.checks -= 1
-            if self._whole(text) != out.tolist():
-                raise ValueError("this tokenizer looks across spaces: use pieces=False")
-        return out
+        parts, out = _EDGE.sub(b" ", data).replace(b"\n", b" ").split(b" "), []
+        for k in range(0, len(parts), 65536):
+            if self.known.held > self.budget // 2 - 65536 * (2 * PIECE_BYTES + ENTRY_BYTES) // 4:
+                former, self.known.former = self.known, {}
+                self.known = self._generation(former)
+            out.append(b"".join(map(self.known.__getitem__, parts[k : k + 65536])))
+        return np.frombuffer(b"".join(out), self.kind)
 
 
-def _put(folder: str, name: str, data: bytes) -> str:
+def _store(folder: str):
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
+
+
+def _put(folder: str, name: str, data: bytes) -> str:
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     draft = f"{root}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as out:
@@ -234,36 +282,40 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return out.withColumn("start", F.col("part_start") + F.col("inside")).drop("inside", "part_start")
 
 
-def read_shards(spark, folder: str) -> DataFrame:
-    """The shard files: name, content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lftok").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-
-
-def documents_of(shards: DataFrame) -> DataFrame:
-    """Rows (name, content, start) to one row a document: doc_id, start, n_tokens, ids_crc32; offsets come from select."""
+def documents_of(shards: DataFrame, folder: str) -> DataFrame:
+    """Rows (name, start) of shards below ``folder`` to one row a document: doc_id, start, n_tokens, ids_crc32, all from the files."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches):
+        store, root = _store(folder)
         for b in batches:
-            for data, start in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                doc_ids, ef, ids = open_shard(data.as_py())
-                at = ef.all()
-                crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{root}/{name}") as file:
+                    rows = []
+                    for doc, start, ids in Shard(file).documents():
+                        rows.append((None if doc == NULL_ID else doc, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        if len(rows) == 4096:
+                            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                            rows = []
+                    if rows:
+                        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return shards.select("content", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("name", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_round_trip(documents: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> DataFrame:
     """Write the shards, read the files back and return their documents."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     folder = folder or fresh_path(spark, "tokens")
     index = f"{folder}/index"
     write_tokens(documents, f"{folder}/shards", tokenizer_path, **options).write.parquet(index)
     shards = spark.read.parquet(index)
-    if shards.isEmpty():
+    n = shards.count()
+    if not n:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return documents_of(read_shards(spark, f"{folder}/shards").join(shard_starts(shards), "name"))
+    dealt = shard_starts(shards).select("name", "start").repartition(max(1, min(tasks(spark), n // 4)), "name")  # a few shards a task
+    return documents_of(dealt, f"{folder}/shards")
 
 
 def word_tokenizer() -> str:
