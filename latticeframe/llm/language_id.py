@@ -1,13 +1,15 @@
 """Language identification by string kernels (operator 9).
 
-The kernel of two texts counts the n-grams (n = 1..3, over a folded alphabet) that both hold, divided by the root of
-the product of their own counts: a blended-spectrum presence kernel.  A bounded sample of labelled rows gives the
-Nystroem landmarks and the training rows; one-versus-rest kernel ridge regression on the Nystroem features gives one
-weight vector a language.  Scoring folds weights and landmarks into matrix products over batches of whole texts.
+The kernel of two texts counts the n-grams (n = 1..3, of lower-case letters of any script, with all else as gaps) that
+both hold, divided by the root of the product of their own counts: a blended-spectrum presence kernel.  N-grams are
+told by 18 bits of a hash of their code points.  A bounded sample of labelled rows gives the Nystroem landmarks and the
+training rows; one-versus-rest kernel ridge regression on the Nystroem features gives one weight vector a language.
+Scoring folds weights and landmarks into matrix products over batches of whole texts.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; rows with a null language are never
-learned from; with no labelled rows at all every text is ``und``; repeated rows are scored alike; further columns are
-ignored.
+learned from; with no labelled rows at all, or an empty table, every text is ``und``; repeated rows are scored alike; of
+equally good languages the first by name is told; very long texts are read whole, but not learned from; columns
+of the input that clash with the names of the result stay as they are, and the result's get ``_`` appended.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 6  # symbols of the folded alphabet, as a power of two
-CODES = 1 << 3 * BITS
+from ._shared import bounded_batches
+
+BITS = 18  # n-grams are told by so many bits
+CODES = 1 << BITS
+MOST_ROWS, MOST_LANGUAGES = 20_000, 2_000  # bounds of what the driver learns from
+_letters: list[np.ndarray] = []
 
 
 @dataclass
 class Model:
-    symbol: np.ndarray  # code point -> symbol; the last entry stands for all larger ones
     vocabulary: np.ndarray  # n-gram code -> column, -1 outside the landmarks' n-grams
     landmarks: np.ndarray  # columns x landmarks, 0/1
     root: np.ndarray  # the landmarks' root counts
@@ -34,45 +39,36 @@ class Model:
     languages: list[str]
 
 
-def _fold(texts: list[str]) -> np.ndarray:
-    """The alphabet: 0 for what is no letter, then the commonest lower-case letters of the sample, the last one for the rest."""
-    counts = np.zeros(0x3001, np.int64)
-    for t in texts:
-        p = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        counts += np.bincount(np.minimum(p, 0x3000), minlength=0x3001)
-    letters = [c for c in range(0x3000) if chr(c).isalpha()]
-    symbol = np.zeros(0x3001, np.uint8)
-    symbol[letters] = symbol[0x3000] = (1 << BITS) - 1
-    best = sorted((c for c in letters if counts[c]), key=lambda c: (-counts[c], c))[: (1 << BITS) - 2]
-    for k, c in enumerate(best):
-        symbol[c] = k + 1
-        up = chr(c).upper()
-        if len(up) == 1 and ord(up) < 0x3000:
-            symbol[ord(up)] = k + 1
-    return symbol
-
-
-def grams(text: str, symbol: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Codes of the distinct 1- to 3-grams of the whole text; ``seen`` is scratch space of zeros."""
-    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbol[np.minimum(p, len(symbol) - 1)].astype(np.int32)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter; made once in a process."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+#: Odd factors of the places of an n-gram, and a start for each n.
+_FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+
+
+def grams(text: str, seen: np.ndarray) -> np.ndarray:
+    """Codes of the distinct 1- to 3-grams of the whole text; ``seen`` is scratch space of CODES zeros."""
+    p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.where(letters()[p], p, np.uint32(0))
     if len(s) > 1:  # runs of other characters count as one gap
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
         s = s[keep]
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
-    two = s[:-1] << BITS | s[1:]
-    seen[s << 2 * BITS] = 1  # n-grams shorter than 3 end in gaps of their own plane
-    seen[CODES + two] = 1
-    seen[(two[:-1] << BITS) | s[2:]] = 1
+    s = np.concatenate(([0], s, [0])).astype(np.uint32)
+    code = s * _FACTOR[0]
+    for n in range(3):
+        if n:
+            code = (code[:-1] ^ (code[:-1] >> np.uint32(15))) * _FACTOR[n] + s[n:]
+        seen[((code ^ code >> np.uint32(16)) * _FACTOR[2 - n]) >> np.uint32(32 - BITS)] = True
     found = np.flatnonzero(seen)
-    seen[found] = 0
+    seen[found] = False
     return found
 
 
-SCRATCH = CODES + (1 << 2 * BITS)
-
-
 def _features(found: list[np.ndarray], model: Model) -> np.ndarray:
     x = np.zeros((len(found), len(model.landmarks)), np.float32)
     size = np.ones(len(found), np.float32)
@@ -89,19 +85,19 @@ def fit(rows: list[tuple[str, str]], per_language: int = 24, ridge: float = 1e-3
     if not rows:
         return None
     languages = sorted({g for _, g in rows})
-    symbol, seen = _fold([t for t, _ in rows]), np.zeros(SCRATCH, np.uint8)
-    found = [grams(t, symbol, seen) for t, _ in rows]
+    seen = np.zeros(CODES, bool)
+    found = [grams(t, seen) for t, _ in rows]
     rng = np.random.default_rng(seed)
     label = np.array([languages.index(g) for _, g in rows])
     chosen = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:per_language] for k in range(len(languages))])
     codes = np.unique(np.concatenate([found[k] for k in chosen]))
-    vocabulary = np.full(SCRATCH, -1, np.int32)
+    vocabulary = np.full(CODES, -1, np.int32)
     vocabulary[codes] = np.arange(len(codes))
     landmarks = np.zeros((len(codes), len(chosen)), np.float32)
     for j, k in enumerate(chosen):
         landmarks[vocabulary[found[k]], j] = 1
     root = np.array([len(found[k]) ** 0.5 for k in chosen], np.float32)
-    model = Model(symbol, vocabulary, landmarks, root, np.zeros((len(chosen), len(languages)), np.float32), languages)
+    model = Model(vocabulary, landmarks, root, np.zeros((len(chosen), len(languages)), np.float32), languages)
     kernel = np.concatenate([_features(found[k : k + 256], model) for k in range(0, len(found), 256)]).astype(np.float64)
     value, vector = np.linalg.eigh(kernel[chosen])
     keep = value > 1e-6 * value.max()
@@ -116,46 +112,71 @@ def fit(rows: list[tuple[str, str]], per_language: int = 24, ridge: float = 1e-3
 
 
 def labelled_sample(documents: DataFrame, learn_from, per_language: int, longest: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language, the first by a hash of the id, texts of at most ``longest`` characters."""
+    """At most ``per_language`` rows of each language, the first by a hash of the id, texts of at most ``longest`` characters.
+
+    Of many languages each gives fewer, MOST_ROWS in all; over MOST_LANGUAGES values aren't languages, and an error.
+    """
     ok = documents.where(learn_from & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike("\\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ok.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "doc_id")
+    ids = ok.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    few = ids.groupBy("lang").count().limit(MOST_LANGUAGES + 1).count()
+    if few > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different values of lang")
+    ids = ids.where(F.col("rank") <= max(1, min(per_language, MOST_ROWS // max(1, few)))).select("lang", "doc_id")
     rows = ok.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     return [(r.text, r.lang) for r in rows.select("text", "lang").collect()]
 
 
-def identify(documents: DataFrame, learn_from=None, per_language: int = 200, longest: int = 20_000, landmarks_per_language: int = 24) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score`` (0 to 1) added; only the text of a row decides its prediction.
+def predict(model: Model | None, texts: list, seen: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of whole texts, scored together."""
+    guess, score = ["und"] * len(texts), np.zeros(len(texts))
+    live = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
+    if live:
+        out = _features([grams(texts[k], seen) for k in live], model) @ model.weights
+        p = np.exp(4 * (out - out.max(1, keepdims=True)).astype(np.float64))
+        p /= p.sum(1, keepdims=True)
+        for k, best, s in zip(live, out.argmax(1), p.max(1), strict=True):
+            guess[k], score[k] = model.languages[best], min(1.0, s)
+    return guess, score
+
+
+def prediction(documents: DataFrame, learn_from=None, per_language: int = 200, longest: int = 20_000, landmarks_per_language: int = 24):
+    """A column (lang_pred, score) over ``documents``, of their text alone.
 
     The model is fitted on at most ``per_language`` labelled rows a language among those that ``learn_from`` accepts.
     """
+    spark = documents.sparkSession
     learn_from = F.lit(True) if learn_from is None else learn_from
-    model = fit(labelled_sample(documents, learn_from, per_language, longest), landmarks_per_language)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(fit(labelled_sample(documents, learn_from, per_language, longest), landmarks_per_language))
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model, seen = shared.value, np.zeros(SCRATCH, np.uint8)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, seen = shared.value, np.zeros(CODES, bool)
         for texts in batches:
-            guess, score = ["und"] * len(texts), np.zeros(len(texts))
-            for begin in range(0, len(texts) if model else 0, 256):
-                some = texts.iloc[begin : begin + 256].tolist()
-                live = [k for k, t in enumerate(some) if t and any(map(str.isalpha, t))]
-                if live:
-                    out = _features([grams(some[k], model.symbol, seen) for k in live], model) @ model.weights
-                    p = np.exp(4 * (out - out.max(1, keepdims=True)).astype(np.float64))
-                    p /= p.sum(1, keepdims=True)
-                    for k, best, s in zip(live, out.argmax(1), p.max(1), strict=True):
-                        guess[begin + k], score[begin + k] = model.languages[best], min(1.0, s)
-            yield pd.DataFrame({"lang_pred": guess, "score": score})
+            guess, score = [], []
+            for begin in range(0, len(texts), 64):
+                some = predict(model, texts.iloc[begin : begin + 64].tolist(), seen)
+                guess += some[0]
+                score.append(some[1])
+            yield pd.DataFrame({"lang_pred": guess, "score": np.concatenate([np.zeros(0), *score])})
 
     # only texts go to Python; nondeterministic, so that a filter on the result doesn't run it twice
-    udf = F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    name = "prediction"
-    while name in kept:
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.col("text"))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with ``_`` appended until no column has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
         name += "_"
-    out = documents.select(*(F.col(f"`{c}`") for c in kept), udf(F.col("text")).alias(name))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
+    return name
+
+
+def identify(documents: DataFrame, learn_from=None, **options) -> DataFrame:
+    """``documents`` with ``lang_pred`` and ``score`` (0 to 1) added; only the text of a row decides its prediction."""
+    bounded_batches(documents.sparkSession)
+    held = documents.select(F.struct("*").alias("doc"), prediction(documents, learn_from, **options).alias("p"))
+    lang, score = (free_name(n, documents.columns) for n in ("lang_pred", "score"))
+    return held.select("doc.*", F.col("p.lang_pred").alias(lang), F.col("p.score").alias(score))
 
 
 def is_held_out():
