@@ -5,11 +5,12 @@
 2. Each of ``trees`` independent trees branches a representative: a node picks one of its level's signature
    positions, sometimes a second one (``1 / similarity`` on average, the chosen-path rule), and the document goes on to
    the child named by its min-wise token there.  The leaves ``depth`` levels down are the nodes that are compared.
-   A node above ``node_limit`` rows is not branched further, which would lose pairs: it is dealt in blocks, each with
-   the node's first document, and what is left open after step 3's links meets in pairs of blocks.
+   A node above ``node_limit`` rows is not branched further, which would lose pairs: it is dealt in blocks of about that
+   many rows, each with the node's first document, so no task holds a large node.
 3. Small nodes are compared exhaustively on sketches.  A larger node first links each member with its first and closest one;
    links are confirmed on full sets and joined into components; then all its pairs that lie in different components
-   are compared on full sets too, in blocks, and only links come out.  So a group of thousands of copies costs a link
+   are compared on full sets too, in blocks, and only links come out: the rows outside the node's largest component go
+   to all its blocks, or, where they are many, blocks meet in pairs.  So a group of thousands of copies costs a link
    or two each, and no pair that can still join two components is left out.
 4. Candidates are confirmed on their full sets, and connected components are taken of the confirmed links.
 
@@ -17,19 +18,21 @@ With similarity .8, 12 trees of depth 4 missed 4 of 60,000 simulated pairs that
 each tree deals the 128 positions in an order of its own, trees are nearly but not wholly independent.
 
 Edge cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a null doc_id
-is kept as a row of its own with a null component; rows that repeat a doc_id count as one document; further columns
-are ignored, whatever their names.
+is kept as a row of its own with a null component; rows that share a doc_id are judged each by its own text; very long texts are hashed in chunks, and of ties the smallest doc_id stays; an
+empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textsets as ts
-from ._shared import connected_components, remove, shared_dir, stored, tasks
+from ._shared import bounded_batches, connected_components, remove, stored, tasks
 
 POSITIONS = 128
 SKETCH = [f"s{k}" for k in range(1, POSITIONS // 32 + 1)]  # columns of the 2-bit sketch
@@ -106,8 +109,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def profile(documents: DataFrame, width: int, similarity: float, trees: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2, the sketch's columns, sig (packed 32-bit values), nodes (leaf ids)."""
-    schema = f"doc_id long, n_shingles long, fp1 long, fp2 long, {', '.join(f'{c} long' for c in SKETCH)}, sig binary, nodes array<long>"
+    """mark (doc_id and hashes of the text), n_shingles, fp1, fp2, the sketch's columns, nodes (leaf ids)."""
+    schema = f"mark struct<doc_id:long,h1:long,h2:long>, n_shingles long, fp1 long, fp2 long, {', '.join(f'{c} long' for c in SKETCH)}, nodes array<long>"
 
     def run(batches):
         for batch in batches:
@@ -122,11 +125,20 @@ def profile(documents: DataFrame, width: int, similarity: float, trees: int, dep
                 offsets = np.concatenate(([0], np.cumsum([len(x) if len(s) else 0 for x, s in zip(nodes, sets, strict=True)]))).astype(np.int32)
                 yield pa.record_batch([
                     ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                    *(pa.array(c) for c in np.ascontiguousarray(sk.T)), pa.array([r.tobytes() for r in sig], pa.binary()),
+                    *(pa.array(c) for c in np.ascontiguousarray(sk.T)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                ], names=["doc_id", "n_shingles", "fp1", "fp2", *SKETCH, "sig", "nodes"])
+                ], names=["mark", "n_shingles", "fp1", "fp2", *SKETCH, "nodes"])
+
+    mark = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *_hashes())
+    return documents.select(mark.alias("mark"), "text").mapInArrow(run, schema).select("mark.*", "n_shingles", "fp1", "fp2", *SKETCH, "nodes")
+
+
+def _hashes() -> list:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(29), F.col("text")).alias("h2")]
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+def _node():
+    return F.xxhash64("doc_id", "h1", "h2")
 
 
 def _dealt(rows: DataFrame, big: DataFrame, node_limit: int) -> DataFrame:
@@ -142,14 +154,24 @@ def _dealt(rows: DataFrame, big: DataFrame, node_limit: int) -> DataFrame:
     return whole.unionAll(split)
 
 
-def _in_pairs(rows: DataFrame, node_limit: int) -> DataFrame:
-    """Rows of nodes (with ``count``) by the cell in which all pairs meet: the node, or each pair of blocks of a larger one."""
+def _in_cells(rows: DataFrame, node_limit: int) -> DataFrame:
+    """Rows (node, comp, doc, n, sketch) of nodes with several components, by the cells in which all pairs of different ones meet.
+
+    A node of up to ``node_limit`` rows is a cell.  A larger one is dealt in blocks; the rows outside its largest component
+    go to every block if they are at most ``node_limit``, else every pair of blocks is a cell.
+    """
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("node").agg(F.sum("c").alias("count"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    dealt = rows.join(whole.select("node", "count", F.col("top.comp").alias("main"), (F.col("count") - F.col("top.c")).alias("few")), "node")
     parts = F.ceil(F.col("count") / node_limit)
-    own = F.pmod(F.xxhash64("doc"), "parts")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("own"))
-    dealt = rows.withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts") > 1, others).otherwise(F.array("own"))))
-    cell = F.when(F.col("parts") > 1, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("node"))
+    dealt = dealt.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc"), "parts"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    paired = (F.col("few") > node_limit) & (F.col("parts") > 1)
+    everywhere = ~paired & (F.col("comp") != F.col("main"))
+    other = F.when(paired, F.filter(blocks, lambda x: x != F.col("own"))).when(everywhere, blocks).otherwise(F.array("own"))
+    dealt = dealt.withColumn("paired", paired).withColumn("other", F.explode(other))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    cell = F.when(F.col("paired"), pair).when(F.col("parts") > 1, F.xxhash64("node", "other")).otherwise(F.col("node"))
     return dealt.select(cell.alias("node"), "comp", "doc", "n", *SKETCH)
 
 
@@ -194,6 +216,8 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for cell, node, doc, n, *words in _groups(batches, 4 + len(SKETCH)):
+            new = np.concatenate(([True], doc[1:] != doc[:-1]))  # rows that repeat both id and text
+            cell, node, doc, n, *words = (c[new] for c in (cell, node, doc, n, *words))
             sk = np.stack(words, 1).view(np.uint64)
             if len(doc) <= SMALL:
                 i, j = np.triu_indices(len(doc), 1)
@@ -253,7 +277,7 @@ def _links_across(cells: DataFrame, documents: DataFrame, width: int, similarity
 
     ``cells`` as ``_open`` returns them.  Each document's set is made once and travels to its cells.
     """
-    least, percent, names = least_agreement(similarity), round(similarity * 100), ["cell", "comp", "n", *SKETCH]
+    least, share, names = least_agreement(similarity), Fraction(str(similarity)), ["cell", "comp", "n", *SKETCH]
     struct = ",".join(f"{c}:long" for c in names)
     roles = cells.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("roles"))
     sets = _sets(documents, roles, f"array<struct<{struct}>>", width)
@@ -270,7 +294,7 @@ def _links_across(cells: DataFrame, documents: DataFrame, width: int, similarity
                 for j in np.flatnonzero(_may_link(sk, n, sk[k], n[k], similarity, least) & other):
                     if joined[comp[j]] != joined[comp[k]]:
                         both = _common(sets[k], sets[j])
-                        if both and 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
+                        if both and share.denominator * both >= share.numerator * (len(sets[k]) + len(sets[j]) - both):
                             joined[joined == joined[comp[j]]] = joined[comp[k]]
                             found.append((min(doc[k], doc[j]), max(doc[k], doc[j])))
             if found:
@@ -282,7 +306,8 @@ def _links_across(cells: DataFrame, documents: DataFrame, width: int, similarity
 
 def _sets(documents: DataFrame, roles: DataFrame, kind: str, width: int) -> DataFrame:
     """doc, set (sorted shingle hashes), roles for each document of ``roles``."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(roles.hint("shuffle_hash"), "doc")
+    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(), "text")
+    texts = marked.select(_node().alias("doc"), "text").join(roles, "doc")
 
     def run(batches):
         for b in batches:
@@ -296,7 +321,7 @@ def _sets(documents: DataFrame, roles: DataFrame, kind: str, width: int) -> Data
 def _verify(pairs: DataFrame, documents: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose full sets reach the similarity.  A set travels once for each pair it is the member of, and once
     for each 512 pairs it leads; a document that leads many pairs is dealt over as many tasks."""
-    percent = round(similarity * 100)
+    share = Fraction(str(similarity))
     n = tasks(pairs.sparkSession)
     led = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("parts"))
     member = pairs.join(led, "a").select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("member"))
@@ -316,7 +341,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, width: int, similarity: floa
                     key, leader = (lead, part), s.copy()
                 elif key == (lead, part):
                     both = _common(leader, s)
-                    if both and 100 * both >= percent * (len(leader) + len(s) - both):
+                    if both and share.denominator * both >= share.numerator * (len(leader) + len(s) - both):
                         a.append(lead)
                         c.append(doc)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
@@ -332,14 +357,21 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(x) else 0
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 12, depth: int = 4, node_limit: int = 4096, cell_rows: int = 2048) -> DataFrame:
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id it reaches), kept."""
+    return _labelled(documents, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _labelled(documents: DataFrame, width: int = 5, similarity: float = 0.8, trees: int = 12, depth: int = 4, node_limit: int = 256, cell_rows: int = 2048) -> DataFrame:
+    """``near_duplicates`` with h1 and h2, the hashes of the row's text."""
     spark = documents.sparkSession
-    shared_dir(spark)
+    bounded_batches(spark)
     n = tasks(spark)
     base, _ = stored(profile(documents, width, similarity, trees, depth), "profile")
-    reps = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc"))
-    own = base.where("n_shingles > 0").join(reps, ["fp1", "fp2", "n_shingles"]).where("doc_id = doc")
+    # a node of the graph is a row's id and text, as ``_node`` hashes them, so that rows which share an id are apart
+    reps = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("m"))
+    reps = reps.select("fp1", "fp2", "n_shingles", F.col("m.doc_id").alias("first"), F.xxhash64("m.doc_id", "m.h1", "m.h2").alias("doc"))
+    own = base.where("n_shingles > 0 AND doc_id IS NOT NULL").join(reps, ["fp1", "fp2", "n_shingles"]).where(_node() == F.col("doc"))
     rows = own.select(F.explode(F.array_distinct("nodes")).alias("node"), "doc", F.col("n_shingles").alias("n"), *SKETCH)
     big = rows.groupBy("node").agg(F.count("*").alias("count"), F.min("doc").alias("lead")).where(F.col("count") > node_limit)
     big, big_path = stored(big, "big")
@@ -348,29 +380,52 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     found, found_path = stored(_candidates(nodes, similarity), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     links, links_path = stored(_verify(pairs, documents, width, similarity), "links")
+    paths += [found_path, links_path]
     again = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("doc"), "n", *SKETCH)
     if not again.isEmpty():
         comps = connected_components(links)
         labelled = again.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        mixed = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo < hi").select("node", "count")
-        open_rows = _in_pairs(labelled.join(mixed, "node"), node_limit).repartition(n, "node").sortWithinPartitions("node", "comp", "doc")
+        open_rows = _in_cells(labelled.select("node", "comp", "doc", "n", *SKETCH).distinct(), node_limit).repartition(n, "node").sortWithinPartitions("node", "comp", "doc")
         cells, cells_path = stored(_open(open_rows, similarity, cell_rows), "cells")
-        paths.append(cells_path)
-        links, _ = stored(links.unionAll(_links_across(cells, documents, width, similarity)), "links")
-        remove(spark, links_path)
-    label = connected_components(links).withColumnRenamed("node", "doc")
-    remove(spark, found_path, *paths)
-    named = reps.join(label, "doc", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "doc").alias("component"))
-    out = base.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
+        links, links_path = stored(links.unionAll(_links_across(cells, documents, width, similarity)), "links")
+        paths += [cells_path, links_path]
+    label, _ = stored(connected_components(links).withColumnRenamed("node", "doc"), "labels")
+    remove(spark, *paths)
+    named = reps.join(label, "doc", "left").select("fp1", "fp2", "n_shingles", "first", F.coalesce("component", "doc").alias("comp"))
+    named = named.join(named.groupBy("comp").agg(F.min("first").alias("component")), "comp").drop("comp", "first")
+    out = base.select("doc_id", "h1", "h2", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h1", "h2", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``documents`` with one document of each group of near duplicates: the one with the smallest doc_id."""
-    gone = near_duplicates(documents, width, similarity).where("NOT kept").select("doc_id").distinct()
-    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    """``documents`` with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows go by their id and the hashes of their text, so a row that only shares its id with a duplicate stays.
+    """
+    gone = _labelled(documents, width=width, similarity=similarity).where("NOT kept").select("doc_id", "h1", "h2").distinct()
+    held = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), *_hashes())
+    return held.join(gone, ["doc_id", "h1", "h2"], "left_anti").select("doc.*")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2, similarity=0.8)
+
+
+#: A counting join over all shingles and a recursive walk over the links: for small tables.  Copies are folded first.
+OP8_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id::BIGINT AS doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM words
+), reps AS (SELECT s, len(s) AS n, min(doc_id) AS doc FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT doc, n, unnest(s) AS g FROM reps),
+links AS (
+  SELECT a.doc AS a, b.doc AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc < b.doc AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc, b.doc, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc AS a, doc AS b FROM reps UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least_of AS (SELECT a AS doc, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN reps ON sets.s = reps.s AND len(sets.s) > 0 LEFT JOIN least_of ON least_of.doc = reps.doc
+"""
