@@ -6,11 +6,14 @@ closing mark); only the text of roles under ``loss`` carries the loss flag.  Con
 as ``\\`` and their number, and ``\\`` as ``\\0``, so a formatted text holds control strings only where the template put
 them, and the escape is undone exactly.
 
-Offsets come from a running sum over the turns of a conversation, so no array grows turn by turn.
+Offsets come from a running sum over the turns of a conversation, so no array grows turn by turn.  Reading splits a
+formatted text behind its closing marks, which stand nowhere else, and cuts each turn from its own piece: time grows
+with the text, not with text times turns.
 
 Edge cases: a null text is empty, a null role is the empty role; roles that the template doesn't know are marked as
 ``other`` and have no transition, so the conversation is invalid but is still formatted; repeated turns are kept;
-a null conv_id is a conversation of its own; an empty table gives no rows; further columns are ignored.
+all rows of null conv_id are one conversation; very long texts are formatted whole; of equal turns the role and then the
+text decide the order; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ class Template:
         "assistant": (" ", " </s>"),
         "other": ("<<TURN>>\n", "\n<</TURN>>\n"),
     })
+    #: every closing mark holds a control string that no opening mark holds
     controls: tuple = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<TURN>>", "<</TURN>>")
     loss: tuple = ("assistant",)
     start: str = "start"
@@ -41,6 +45,12 @@ class Template:
         ("asked", "assistant"): "answered", ("answered", "user"): "asked",
     })
 
+    def __post_init__(self):
+        opens = [o for o, _ in self.marks.values()]
+        for role, (_, close) in self.marks.items():
+            if not any(c in close and not any(c in o for o in opens) for c in self.controls):
+                raise ValueError(f"the closing mark of {role} holds no control string of its own")
+
 
 def escape(text, controls):
     return reduce(lambda c, k: F.replace(c, F.lit(k[1]), F.lit(f"\\{k[0]}")), enumerate(("\\", *controls)), text)
@@ -79,8 +89,13 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
 def read_segments(chats: DataFrame, template: Template | None = None) -> DataFrame:
     """The turns of formatted chats, read from the formatted text: conv_id, formatted, valid, turns (role, loss, text)."""
     t = template or Template()
-    # each piece is cut from the rest of the text, so a long conversation is read in one pass over its segments
-    cut = F.transform("segments", lambda s: F.struct(s["role"].alias("role"), s["loss"].alias("loss"), unescape(F.substring(F.col("formatted"), s["start"] + 1, s["len"]), t.controls).alias("text")))
+    ends = sorted({close for _, close in t.marks.values()}, key=lambda c: (-len(c), c))
+    pieces = F.split("formatted", "|".join(f"(?<=\\Q{c}\\E)" for c in ends), -1)
+    def turn(s, piece):
+        text = F.substr(piece, _by_role(s["role"], t, lambda r: len(t.marks[r][0])) + 1, s["len"])
+        return F.struct(s["role"].alias("role"), s["loss"].alias("loss"), unescape(text, t.controls).alias("text"))
+
+    cut = F.zip_with("segments", F.slice(pieces, F.lit(1), F.size("segments")), turn)
     return chats.select("conv_id", "formatted", "valid", cut.alias("turns"))
 
 
