@@ -7,10 +7,12 @@ Keys travel as 128-bit hashes (two seeds).  Hashes that hold more than their sha
 count with partial sums that also gives their smallest document: there are at most ``4 * partitions`` of them, so they
 are decided by a broadcast join.  All other hashes are range-partitioned, sorted by document and position within the
 partition, and a running first value streams each hash's first document past its other lines.  Only the dropped
-positions leave that stage; a document's bitmap is their complement, as the runs of kept lines.
+positions leave that stage; a document's keep bitmap is their complement, run-length encoded: the lengths of runs of
+kept and dropped lines in turn, kept ones first, as 32-bit numbers, so a document that drops nothing has four bytes.
 
 Edge cases: a null or empty text is one empty line; a null doc_id sorts before all others; rows that repeat a
-doc_id count as one document but keep their own lines; further columns are ignored.
+doc_id count as one document but keep their own lines; of equal lines in one document all stay or all go; very long texts
+and lines are hashed whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,28 +59,39 @@ def dropped_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     return by_hot.unionAll(by_stream)
 
 
-def keep_runs(dropped, n_lines):
-    """The keep bitmap of a document as runs of kept lines: an array of (start, len), from its sorted dropped positions."""
-    edge = F.concat(F.array(F.lit(-1)), dropped, F.array(n_lines))
-    runs = F.zip_with(F.slice(edge, 1, F.size(edge) - 1), F.slice(edge, 2, F.size(edge) - 1), lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("len")))
-    return F.filter(runs, lambda r: r["len"] > 0)
+def keep_bitmap(dropped, n_lines):
+    """The run-length encoded keep bitmap, from a document's sorted dropped positions and its number of lines."""
+    first = F.filter(F.transform(dropped, lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.when(i > 0, F.get(dropped, i - 1)).otherwise(-2).alias("before"))), lambda x: x["p"] != x["before"] + 1)
+    # a run of dropped lines begins at ``p``, its place in the list is ``i``; the next run's place tells how long it is
+    starts, places = F.transform(first, lambda x: x["p"]), F.transform(first, lambda x: x["i"])
+    lengths = F.zip_with(places, F.slice(F.concat(places, F.array(F.size(dropped))), F.lit(2), F.size(places)), lambda a, b: b - a)
+    ends = F.concat(F.array(F.lit(0)), F.zip_with(starts, lengths, lambda s, n: s + n))
+    runs = F.zip_with(F.zip_with(F.concat(starts, F.array(n_lines)), ends, lambda s, e: s - e), lengths, lambda kept, gone: F.array(kept, gone))
+    words = F.filter(F.flatten(runs), lambda n: n.isNotNull())
+    return F.unhex(F.array_join(F.transform(words, lambda n: F.lpad(F.hex(n), 8, "0")), ""))
 
 
-def kept_text(lines, runs):
-    """The kept lines, joined; linear in the number of lines."""
-    return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
+def keep_flags(bitmap):
+    """A bitmap as one boolean a line."""
+    words = F.transform(F.split(F.hex(bitmap), r"(?<=\G.{8})"), lambda w: F.conv(w, 16, 10).cast("int"))
+    return F.flatten(F.transform(F.filter(words, lambda n: n.isNotNull()), lambda n, i: F.array_repeat(i % 2 == 0, n)))
+
+
+def kept_text(lines, bitmap):
+    """The kept lines, joined."""
+    return F.array_join(F.zip_with(lines, keep_flags(bitmap), lambda line, keep: F.when(keep, line)), "\n")
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
-    """One row a document: doc_id, text, n_lines, n_dropped, keep (runs of kept lines)."""
+    """One row a document: doc_id, text, n_lines, n_dropped, keep (the bitmap)."""
     rows = documents.select(F.col("doc_id"), F.xxhash64("text").alias("row"), "text")
     gone = dropped_lines(rows, min_chars).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("row").alias("gone_row"), "dropped")
-    both = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("row") == F.col("gone_row")), "left")
+    both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("row") == F.col("gone_row")), "left")
     none = F.array().cast("array<int>")
     n = F.size(lines_of(F.col("text")))
     out = both.select("doc_id", "text", n.alias("n_lines"), F.coalesce("dropped", none).alias("dropped"))
-    return out.select("doc_id", "text", "n_lines", F.size("dropped").alias("n_dropped"), keep_runs(F.col("dropped"), F.col("n_lines")).alias("keep"))
+    return out.select("doc_id", "text", "n_lines", F.size("dropped").alias("n_dropped"), keep_bitmap(F.col("dropped"), F.col("n_lines")).alias("keep"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
