@@ -5,11 +5,14 @@ redirect to each other, or name each other as canonical, are one resource: conne
 a block decision to every alias.  A url that an allow rule itself fits stays allowed, whatever its aliases are.
 
 Nodes are host and path (scheme, query and fragment don't make another resource).  Edges come from the pages
-(``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and from a table of redirects; only edges between different
-nodes enter the component rounds, and component verdicts are aggregated per component with partial sums.
+(``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and from a table of redirects; targets are resolved against the
+page's url with ``.`` and ``..`` segments taken out.  Only edges between different nodes enter the component rounds, and
+component verdicts are aggregated per component with partial sums.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and has no aliases: its
-verdict is the default, allow; empty tables give no rows; repeated pages are judged each; further columns are ignored.
+verdict is the default, allow; equally long rules that fit tie for allow; a link to a fragment or of a scheme without a
+host names no resource; a page's own path is taken as it is; html of any length is searched whole; empty tables give no
+rows; repeated pages are judged each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,24 +61,62 @@ def _of_rule(place: Column, rules, pick) -> Column:
     return F.element_at(F.array(F.lit(""), *(F.lit(pick(r)) for r in _ordered(rules))), F.coalesce(place, F.lit(0)) + 1)
 
 
+#: Character references that occur in urls and attribute values.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in a tag, quoted or bare, with &amp; decoded."""
-    found = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
-    bare = F.regexp_replace(found, r"^[^=]*=\s*", "")
-    return F.replace(F.btrim(bare, F.lit("\"' ")), F.lit("&amp;"), F.lit("&"))
+    """An attribute's value in a tag, quoted or bare, with character references decoded; null without the attribute.
+
+    The tag is read attribute by attribute, so a name within another name or within a value is none.
+    """
+    each = F.regexp_extract_all(F.regexp_replace(tag, r"^<\w+", ""), F.lit(r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""), F.lit(0))
+    own = F.element_at(F.concat(F.filter(each, lambda a: F.lower(a).rlike(rf"^{name}\s*=")), F.array(F.lit(None).cast("string"))), 1)
+    bare = F.regexp_replace(own, r"^[^=]*=\s*", "")
+    value = F.when(bare.rlike(r"^[\"']"), F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    for code, char in ENTITIES:
+        value = F.replace(value, F.lit(code), F.lit(char))
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+
+    def step(acc, x):
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(x["p"] == "..", F.when(x["last"], F.concat(up, F.array(F.lit("")))).otherwise(up)).when(x["p"] == ".", F.when(x["last"], F.concat(acc, F.array(F.lit("")))).otherwise(acc)).otherwise(F.concat(acc, F.array(x["p"])))
+
+    def fold(parts):
+        each = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i == F.size(parts) - 1).alias("last")))
+        return F.array_join(F.aggregate(each, F.array().cast("array<string>"), step), "/")
+
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _bound(parts, fold)).otherwise(path)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The absolute url (host and path) that a link on a page names; null if it names none."""
+    site = F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    bare = F.regexp_replace(link, r"[?#].*$", "")
+    own = lambda to: F.concat(site, without_dots(F.when(to.startswith("/"), to).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), to))))
+    whole = lambda url: F.concat(F.regexp_extract(url, r"^[^:]*://[^/]*", 0), without_dots(F.regexp_extract(url, r"^[^:]*://[^/]*(.*)$", 1)))
+    other = link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return (
+        F.when(link.isNull() | (link == "") | link.startswith("#"), F.lit(None).cast("string")).when(other & bare.contains("://"), whole(bare)).when(other, F.lit(None).cast("string"))
+        .when(bare.startswith("//"), whole(F.concat(F.regexp_extract(base, r"^[^:]*:", 0), bare))).when(bare == "", F.concat(site, path)).otherwise(own(bare))
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst urls of the canonical and refresh links in the pages' html; relative targets are resolved on the host."""
-    tags = pages.where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike("(?i)<(link|meta)[^>]*(canonical|refresh)"))
-    tags = tags.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    """src, dst urls of the canonical and refresh links in the pages' html."""
+    tags = pages.where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike("(?i)canonical|refresh"))
+    tags = tags.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*+>"""), F.lit(0))).alias("tag"))
     tags, _ = stored(tags.where(F.col("tag").rlike("(?i)canonical|refresh")), "alias-tags")  # few rows, and short expressions from here on
-    canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href"))
-    goal = F.btrim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*(.*)$", 1), F.lit("\"' "))
+    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    goal = F.btrim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1), F.lit("\"' "))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", goal)
-    site = F.regexp_extract("url", r"^[^:]*://[^/?#]*", 0)
-    full = lambda to: F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(site, to))
-    return tags.select(F.col("url").alias("src"), _bound(F.coalesce(canonical, refresh), full).alias("dst"))
+    return tags.select(F.col("url").alias("src"), _bound(F.coalesce(canonical, refresh), lambda link: resolved(F.col("url"), link)).alias("dst"))
 
 
 def _resource(url: Column) -> Column:
