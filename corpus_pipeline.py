@@ -2,7 +2,8 @@
 
 Language ID, near-duplicate removal, benchmark decontamination, mixing to target weights, token-ID output.  Each stage
 works on all that its predecessor kept.  An empty table passes through every stage; null texts are rejected by the
-first one; further columns of ``documents`` pass through up to the last stage.
+first one; further columns of ``documents`` pass through up to the last stage, whatever their names; rows that repeat
+an id are judged by their own texts; ties go to the smallest doc_id; texts of any length pass whole.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeframe.llm._shared import fresh_path
+from latticeframe.llm._shared import bounded_batches, fresh_path, remove, scratch
 from latticeframe.llm.decontaminate import drop_contaminated
-from latticeframe.llm.language_id import identify
+from latticeframe.llm.language_id import prediction
 from latticeframe.llm.mixing import mix
 from latticeframe.llm.near_dedup import drop_near_duplicates
 from latticeframe.llm.token_output import tokens_round_trip, word_tokenizer
@@ -23,19 +24,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no model can be fitted all are ``und``; those with a letter stay.
     """
-    kept = (F.col("lang_pred") != "und") | F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    return identify(docs).where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+    bounded_batches(spark)
+    held = docs.select(F.struct("*").alias("doc"), prediction(docs).alias("told"))
+    kept = (F.col("told.lang_pred") != "und") | F.coalesce(F.col("doc.text").rlike("\\p{L}"), F.lit(False))
+    return held.where(kept).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity .8 or more)."""
-    return drop_near_duplicates(docs, width=5, similarity=0.8).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drop_near_duplicates(docs, width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return drop_contaminated(docs, benchmark).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drop_contaminated(docs, benchmark)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
