@@ -6,16 +6,15 @@ an order of addition could matter.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .functions import vector as V
 from .operators import graph, hybrid, search, temporal
+from .operators.quantiles import percentiles
 from .plans import CatalogStats, MatchQuery, NearestQuery, explain, optimize, parse, plan_logical, run
-from .tables import shared_dir
+from .tables import fresh_path
 
 HOPS, LEAST, ASSERTED, VALID = 5, 0.1, 75, 400
 
@@ -229,15 +228,11 @@ def cosine_threshold_scan(spark, sf_dir):
 
 @_query(None)
 def recall_at_k(spark, sf_dir):
-    """Recall of the cell index against the exact scan, by query."""
+    """Recall of the cell index at its default probes against the exact scan, for every hundredth row."""
     n, q = nodes(spark, sf_dir), nodes_q(spark, sf_dir)
-    index = search.CellIndex.build(n, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}")
-    exact = found = None
-    for k in (0, 7, 14):
-        v = _vector_of(spark, sf_dir, k)
-        e, f = (d.select(F.lit(k).alias("query_id"), "id") for d in (search.nearest(q, v, 10), index.search(spark, v, 10, 12)))
-        exact, found = (e, f) if exact is None else (exact.unionAll(e), found.unionAll(f))
-    return search.recall(exact, found, 10)
+    index = search.CellIndex.build(n, fresh_path(spark, "cells"))
+    asked = F.col("id") % 100 == 0
+    return search.recall(search.nearest_join(q, q.where(asked), 10), index.search_many(n.where(asked).select("id", "embedding"), 10), 10)
 
 
 # time ---------------------------------------------------------------------------------------------------------------
@@ -264,22 +259,14 @@ def get_as_of_point(spark, sf_dir):
     return temporal.get_as_of(records(spark, sf_dir), _KEY, _AT)
 
 
-@_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id WHERE p.event_id % 20 = 0) WHERE n = 1", "records"))
+@_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id) WHERE n = 1", "records"))
 def as_of_join(spark, sf_dir):
-    """The probes that its SQL names, one event in twenty; ``as_of_join_all`` probes with every event."""
-    return _as_of(spark, sf_dir, _read(spark, sf_dir, "events").where(F.col("event_id") % 20 == 0))
-
-
-def _as_of(spark, sf_dir, e: DataFrame) -> DataFrame:
+    """Probes with every event."""
+    e = _read(spark, sf_dir, "events")
     probes = e.select(F.col("event_id").alias("probe_id"), F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("known_by"))
     return temporal.as_of_join(probes, records(spark, sf_dir))
 
 
-@_query(_with("SELECT probe_id, key, value, valid_from, valid_to, asserted_at FROM (SELECT p.event_id AS probe_id, r.*, row_number() OVER (PARTITION BY p.event_id ORDER BY r.asserted_at DESC, r.valid_from, r.valid_to) AS n FROM events p JOIN records r ON r.key = p.event_type || ':' || (p.user_id % 20) AND r.valid_from <= epoch_us(p.ts) AND epoch_us(p.ts) < r.valid_to AND r.asserted_at <= p.event_id) WHERE n = 1", "records"))
-def as_of_join_all(spark, sf_dir):
-    return _as_of(spark, sf_dir, _read(spark, sf_dir, "events"))
-
-
 @_query(_with(f"SELECT key, value, valid_from, valid_to, asserted_at FROM records WHERE valid_from <= {_AT} AND {_AT} < valid_to", "records"))
 def valid_interval_scan(spark, sf_dir):
     return temporal.valid_at(records(spark, sf_dir), _AT).select(*temporal.RECORD)
@@ -292,8 +279,7 @@ def logical_ranges_latest(spark, sf_dir):
 
 @_query("SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events")
 def latency_percentiles(spark, sf_dir):
-    cut = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{round(p * 100)}")
-    return _read(spark, sf_dir, "events").agg(*(cut(p) for p in (0.5, 0.9, 0.95, 0.99)))
+    return percentiles(_read(spark, sf_dir, "events"), "value", [0.5, 0.9, 0.95, 0.99])
 
 
 # graph --------------------------------------------------------------------------------------------------------------
@@ -449,14 +435,12 @@ def kv_expected_bytes(spark, sf_dir):
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("cache"), size.alias("bytes"))
 
 
-@_query("SELECT l_orderkey AS cache, l_linenumber AS idx, (l_quantity * 1000)::BIGINT AS len, (ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT AS transfer, coalesce(sum((l_quantity * 1000)::BIGINT) OVER w, 0)::BIGINT AS device_offset, coalesce(sum((ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT) OVER w, 0)::BIGINT AS file_offset FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@_query("SELECT l_orderkey AS cache, l_linenumber AS idx, (l_quantity * 1000)::BIGINT AS len, (ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT AS transfer, coalesce(sum((ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096)::BIGINT) OVER w, 0)::BIGINT AS device_offset, (coalesce(sum((ceil((l_quantity * 1000)::BIGINT / 4096.0) * 4096 + 4096)::BIGINT) OVER w, 0) + 4096)::BIGINT AS file_offset FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def kv_restore_extents(spark, sf_dir):
-    """Offsets of the blocks of each cache: running sums of their sizes, plain and rounded to 4 KiB."""
+    """Offsets of the blocks of each cache: transfers are rounded to 4 KiB and follow each other on the device; in the file a header of 4 KiB is before each."""
     size = (F.col("l_quantity") * 1000).cast("bigint")
     blocks = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cache"), F.col("l_linenumber").alias("idx"), size.alias("len"), "l_partkey", "l_suppkey").withColumn("transfer", S.rounded_to_block(F.col("len")))
     before = Window.partitionBy("cache").orderBy("idx", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("cache", "idx", "len", "transfer", F.coalesce(F.sum("len").over(before), F.lit(0)).alias("device_offset"), F.coalesce(F.sum("transfer").over(before), F.lit(0)).alias("file_offset"))
-
-
-def nearest_plan(vector: list[float], k: int, n: int):
-    return optimize(plan_logical(NearestQuery(tuple(vector), k)), CatalogStats(n))
+    device = F.coalesce(F.sum("transfer").over(before), F.lit(0))
+    held = F.coalesce(F.sum(F.col("transfer") + S.BLOCK).over(before), F.lit(0)) + S.BLOCK
+    return blocks.select("cache", "idx", "len", "transfer", device.alias("device_offset"), held.cast("bigint").alias("file_offset"))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..errors import InvalidQuery
 
 BLOCK = 4096
-#: Bytes of one element by number format, and the layouts a cache may have.
-ELEMENT_BYTES = {"fp32": 4, "fp16": 2, "bf16": 2, "fp8": 1, "int8": 1}
 
 
 def node_id(key: Column) -> Column:
@@ -34,15 +32,6 @@ def from_hex(text: str) -> bytes:
     return bytes.fromhex(text)
 
 
-def overlaps(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
-    """Whether two half-open intervals share a point."""
-    return (a_from < b_to) & (b_from < a_to)
-
-
-def checksum(payload: Column) -> Column:
-    return F.crc32(payload)
-
-
 def rounded_to_block(n: Column) -> Column:
     """The next multiple of 4096."""
     return (F.ceil(n / F.lit(BLOCK)) * BLOCK).cast("bigint")

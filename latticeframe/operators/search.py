@@ -5,7 +5,10 @@ Tables need ``id``, ``codes`` (array of tinyint), ``nn`` (squared norm of the co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,15 +52,15 @@ def threshold_scan(nodes: DataFrame, query: list[float], least: float) -> DataFr
     return scored(nodes, query).where(F.col("score") >= least).select("id", "score")
 
 
-def nearest_join(nodes: DataFrame, queries: DataFrame, k: int, query_limit: int = 50_000) -> DataFrame:
+def nearest_join(nodes: DataFrame, queries: DataFrame, k: int, query_bytes: int = 1 << 25) -> DataFrame:
     """The k best rows for each query: query_id, id, dot, score.
 
-    Query codes are broadcast only up to ``query_limit`` rows; more queries are dealt in chunks of that size
+    Query codes are broadcast, as doubles, only up to ``query_bytes``; more queries are dealt in chunks of that size
     against all rows, a chunk a pass.  Rows are scored as integer matrix products over Arrow batches; each batch passes
     on its own k best, so what is shuffled is k rows a query and batch.
     """
-    count = queries.count()
-    chunks = max(1, -(-count // query_limit))
+    size = queries.agg(F.sum(F.size("codes") * 8 + 16)).first()[0] or 0
+    chunks = max(1, -(-size // query_bytes))
     out = None
     for c in range(chunks):
         some = queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c) if chunks > 1 else queries
@@ -114,41 +117,84 @@ def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return exact.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.lit(k)).alias("recall"))
 
 
+def fit_centres(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
+    """Unit centres of a sample of vectors by their directions."""
+    x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[: min(cells, len(x))]].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        filled = np.bincount(near, minlength=len(centres)) > 0
+        centres[filled] = total[filled]
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+    return centres
+
+
+def cells_for(rows: int) -> int:
+    """Cells grow with the root of the rows, to 4,096 at most."""
+    return max(1, min(4096, int(rows**0.5)))
+
+
+def probes_for(cells: int) -> int:
+    """Cells that a search reads by default: a quarter of few, sixty-four of many."""
+    return min(cells, max(4, min(64, cells // 2)))
+
+
+def nearest_cells(centres: np.ndarray, query, probes: int) -> list[int]:
+    return np.argsort(-(centres @ np.asarray(query, np.float32)), kind="stable")[:probes].tolist()
+
+
+def with_cells(nodes: DataFrame, centres: np.ndarray, vector: str) -> DataFrame:
+    """``nodes`` with the cell of each vector: its nearest centre."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield pd.Series((np.stack(v.to_list()) @ shared.value.T).argmax(1) if len(v) else [], dtype="int32")
+
+    return nodes.withColumn("cell", F.pandas_udf(assign, "int")(F.col(vector)))
+
+
 class CellIndex:
-    """Approximate search: rows are grouped by their nearest of a bounded set of centres, stored partitioned by cell.
+    """Approximate search: rows are grouped by their nearest centre, stored partitioned by cell.
 
-    ``search`` reads only the ``probes`` cells nearest to the query (partition pruning), then ranks them exactly.
+    There are as many centres as ``cells_for`` says, fitted on a sample of at most ``sample_rows``.  ``search`` reads only the
+    ``probes`` cells nearest to the query (partition pruning), then ranks their rows exactly.
     """
 
-    def __init__(self, centres: np.ndarray, path: str):
-        self.centres, self.path = centres, path
+    def __init__(self, centres: np.ndarray, path: str, vector: str = "embedding"):
+        self.centres, self.path, self.vector = centres, path, vector
 
     @classmethod
-    def build(cls, nodes: DataFrame, path: str, vector: str = "embedding", cells: int = 16, sample_rows: int = 20_000, seed: int = 3) -> CellIndex:
+    def build(cls, nodes: DataFrame, path: str, vector: str = "embedding", cells: int | None = None, sample_rows: int = 20_000, seed: int = 3) -> CellIndex:
         sample = nodes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(vector).toArrow()
-        x = np.array(sample.column(0).to_pylist(), np.float32)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        rng = np.random.default_rng(seed)
-        centres = x[rng.permutation(len(x))[: min(cells, len(x))]].copy()
-        for _ in range(10):
-            near = (x @ centres.T).argmax(1)
-            for c in range(len(centres)):
-                if (near == c).any():
-                    centres[c] = x[near == c].mean(0)
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
-        shared = nodes.sparkSession.sparkContext.broadcast(centres)
-
-        def assign(batches):
-            for b in batches:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.empty((0, shared.value.shape[1]))
-                yield pa.record_batch([b.column(0), pa.array((v @ shared.value.T).argmax(1).astype(np.int32)), b.column(1)], names=["id", "cell", vector])
-
-        kind = nodes.schema["id"].dataType.simpleString()
-        placed = nodes.select("id", vector).mapInArrow(assign, f"id {kind}, cell int, {vector} array<float>")
-        quantized(placed, vector).write.partitionBy("cell").parquet(path)
-        return cls(centres, path)
-
-    def search(self, spark, query: list[float], k: int, probes: int = 4) -> DataFrame:
-        q = np.asarray(query, np.float32)
-        cells = np.argsort(-(self.centres @ q), kind="stable")[:probes].tolist()
+        cells = cells_for(nodes.count()) if cells is None else cells
+        centres = fit_centres(np.array(sample.column(0).to_pylist(), np.float32), cells, seed=seed)
+        index = cls(centres, path, vector)
+        index.insert(nodes)
+        return index
+
+    def insert(self, nodes: DataFrame) -> None:
+        """Adds rows (id and the vector) to the cells of the same centres."""
+        quantized(with_cells(nodes.select("id", self.vector), self.centres, self.vector), self.vector).write.mode("append").partitionBy("cell").parquet(self.path)
+
+    def search(self, spark, query: list[float], k: int, probes: int | None = None) -> DataFrame:
+        cells = nearest_cells(self.centres, query, probes or probes_for(len(self.centres)))
         return nearest(spark.read.parquet(self.path).where(F.col("cell").isin(cells)), list(query), k)
+
+    def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """query_id, id, score: the k best rows of the cells nearest to each query (id and the vector), by one join on the cell."""
+        spark = queries.sparkSession
+        shared, n = spark.sparkContext.broadcast(self.centres), probes or probes_for(len(self.centres))
+
+        def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for v in batches:
+                yield pd.Series(np.argsort(-(np.stack(v.to_list()) @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32).tolist() if len(v) else [])
+
+        asked = quantized(queries.withColumn("cells", F.pandas_udf(cells, "array<int>")(F.col(self.vector))), self.vector)
+        asked = asked.select(F.col("id").alias("query_id"), F.col("codes").alias("q_codes"), F.col("nn").alias("q_nn"), F.explode("cells").alias("cell"))
+        both = asked.join(spark.read.parquet(self.path), "cell")
+        scored_ = both.select("query_id", "id", V.cosine(V.dot_codes(F.col("codes"), F.col("q_codes")), F.col("nn"), F.col("q_nn")).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return scored_.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -27,13 +27,38 @@ def get_as_of(records: DataFrame, key, at: int, known_by: int | None = None) ->
     return rows.select(*RECORD).orderBy(F.desc("asserted_at"), "valid_from", "valid_to").limit(1)
 
 
+def _level(start: Column, end: Column) -> Column:
+    """The power of two above an interval's length, as its number of bits: at that width an interval lies in two buckets at most."""
+    size = end - start
+    return F.when(size < 0, 63).otherwise(F.length(F.bin(size))).cast("int")
+
+
+def _bucket(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at, level)
+
+
+def _buckets(start: Column, end: Column, level: Column) -> Column:
+    return F.array_distinct(F.array(_bucket(start, level), _bucket(end - 1, level)))
+
+
+def _levels(rows: DataFrame, start: str, end: str) -> list[int]:
+    return sorted(r[0] for r in rows.select(_level(F.col(start), F.col(end))).where(F.col(start) < F.col(end)).distinct().collect())  # 63 at most
+
+
 def as_of_join(probes: DataFrame, records: DataFrame) -> DataFrame:
     """For each probe (probe_id, key, at, known_by) the record then valid and known; probes without one are left out.
 
-    One equi-join on the key with the interval as a residual, and a minimum with partial sums: no sort, no window, and
-    AQE may split hot keys on either side.
+    A record lies in at most two buckets as wide as its interval's power of two, a probe in one of each width that
+    occurs: one equi-join on key, width and bucket, so a key's records meet only the probes of their time, and a minimum
+    with partial sums.  No sort, no window; AQE may split hot keys on either side.
     """
-    both = probes.join(records, "key").where((F.col("valid_from") <= F.col("at")) & (F.col("at") < F.col("valid_to")) & (F.col("asserted_at") <= F.col("known_by")))
+    level = _level(F.col("valid_from"), F.col("valid_to"))
+    facts = records.where("valid_from < valid_to").withColumn("level", level)
+    facts = facts.withColumn("bucket", F.explode(_buckets(F.col("valid_from"), F.col("valid_to"), F.col("level"))))
+    widths = _levels(records, "valid_from", "valid_to")
+    asks = probes.withColumn("level", F.explode(F.array(*(F.lit(x) for x in widths)).cast("array<int>")))
+    asks = asks.withColumn("bucket", _bucket(F.col("at"), F.col("level")))
+    both = asks.join(facts, ["key", "level", "bucket"]).where((F.col("valid_from") <= F.col("at")) & (F.col("at") < F.col("valid_to")) & (F.col("asserted_at") <= F.col("known_by")))
     best = both.groupBy("probe_id", "key").agg(F.min_by(F.struct("value", "valid_from", "valid_to", "asserted_at"), _latest()).alias("r"))
     return best.select("probe_id", "key", "r.value", "r.valid_from", "r.valid_to", "r.asserted_at")
 
@@ -52,10 +77,22 @@ def changes(branch: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def conflicts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Changed source ranges that overlap a changed target range of the same key with another value; one row each."""
-    t = target.select(F.col("key").alias("t_key"), F.col("value").alias("t_value"), F.col("valid_from").alias("t_from"), F.col("valid_to").alias("t_to"))
-    meet = (source["key"] == t["t_key"]) & (source["valid_from"] < t["t_to"]) & (t["t_from"] < source["valid_to"]) & ~source["value"].eqNullSafe(t["t_value"])
-    return source.join(t, meet, "left_semi")
+    """Changed source ranges that overlap a changed target range of the same key with another value; one row each.
+
+    Ranges meet in the buckets of the wider one's width, where each lies in two at most.
+    """
+    widths = F.array(*(F.lit(x) for x in sorted({*_levels(source, "valid_from", "valid_to"), *_levels(target, "valid_from", "valid_to")}))).cast("array<int>")
+
+    def dealt(rows, own):
+        at = rows.withColumn(own, _level(F.col("valid_from"), F.col("valid_to")))
+        at = at.withColumn("level", F.explode(F.filter(widths, lambda x: x >= F.col(own))))
+        return at.withColumn("bucket", F.explode(_buckets(F.col("valid_from"), F.col("valid_to"), F.col("level"))))
+
+    s = dealt(source, "s_level")
+    t = dealt(target, "t_level").select(F.col("key").alias("t_key"), F.col("value").alias("t_value"), F.col("valid_from").alias("t_from"), F.col("valid_to").alias("t_to"), "t_level", F.col("level").alias("t_width"), F.col("bucket").alias("t_bucket"))
+    meet = (s["key"] == t["t_key"]) & (s["level"] == t["t_width"]) & (s["bucket"] == t["t_bucket"]) & (s["level"] == F.greatest(s["s_level"], t["t_level"]))
+    meet &= (s["valid_from"] < t["t_to"]) & (t["t_from"] < s["valid_to"]) & ~s["value"].eqNullSafe(t["t_value"])
+    return s.join(t, meet, "left_semi").select(*source.columns).distinct()
 
 
 def merged(target: DataFrame, applied: DataFrame, epoch: int) -> DataFrame:

@@ -17,6 +17,7 @@ NODE = T.StructType([
     T.StructField("id", T.BinaryType(), False), T.StructField("temporal", T.ArrayType(POINT, False), False), T.StructField("vector", T.ArrayType(T.ByteType(), False), False),
     T.StructField("quantization_scale", T.FloatType(), False), T.StructField("square_norm", T.LongType(), False), T.StructField("edges", T.ArrayType(EDGE, False), False),
 ])
+CELLED_NODE = T.StructType([*NODE.fields, T.StructField("cell", T.IntegerType())])
 RECORD = T.StructType([
     T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType(), False), T.StructField("valid_from", T.LongType(), False),
     T.StructField("valid_to", T.LongType(), False), T.StructField("asserted_at", T.LongType(), False),

@@ -7,9 +7,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .. import schemas
 from ..errors import SessionError
 from ..plans import explain, optimize, parse, plan_logical
 from ..sources.arrow import node_rows, result_batches
@@ -80,15 +78,33 @@ class SessionManager:
     def explain(self, branch: str, text: str) -> str:
         return explain(self._plan(branch, text))
 
-    def query_frame(self, branch: str, text: str) -> DataFrame:
-        return self.engine.execute(branch, self._plan(branch, text))
+    def query_frame(self, branch: str, text: str, exact: bool = False) -> DataFrame:
+        """The rows of a query; ``exact`` makes VECTOR NEAREST read all nodes rather than the near cells."""
+        return self.engine.execute(branch, self._plan(branch, text), exact)
 
-    def query(self, branch: str, text: str) -> pa.Table:
-        return pa.Table.from_batches(self.query_batches(branch, text))
+    def query(self, branch: str, text: str, exact: bool = False) -> pa.Table:
+        return pa.Table.from_batches(self.query_batches(branch, text, exact=exact))
 
-    def query_batches(self, branch: str, text: str, rows: int = 1024) -> list[pa.RecordBatch]:
+    def query_batches(self, branch: str, text: str, rows: int = 1024, exact: bool = False) -> list[pa.RecordBatch]:
         """Batches of at most ``rows`` rows; an empty result is one empty batch."""
-        return result_batches(self.query_frame(branch, text).toArrow(), rows)
+        return result_batches(self.query_frame(branch, text, exact).toArrow(), rows)
+
+    def merge(self, target: str, source: str):
+        """Merges a branch's changed ranges into another; see ``Engine.merge``."""
+        return self.engine.merge(target, source)
+
+    def io_stats(self) -> dict:
+        return self.engine.storage_stats()
+
+    def download_kv_cache(self, branch: str) -> pa.Table | None:
+        """A cache as a table of one row: bytes, spec_json."""
+        found = self.get_kv_cache(branch)
+        return found and pa.table({"bytes": pa.array([found[0]], pa.large_binary()), "spec_json": [found[1].to_json()]})
+
+    def upload_kv_cache(self, branch: str, table: pa.Table) -> dict:
+        if table.num_rows != 1 or not {"bytes", "spec_json"} <= set(table.column_names):
+            raise SessionError("a cache is one row of bytes and spec_json")
+        return self.put_kv_cache(branch, table.column("spec_json")[0].as_py(), table.column("bytes")[0].as_buffer())
 
     def query_pandas(self, branch: str, text: str):
         return self.query(branch, text).to_pandas()
@@ -132,9 +148,3 @@ class SessionManager:
     def validate(self) -> int:
         return self.engine.validate() + self.caches.validate_all()
 
-
-def latest_ranges(engine: Engine, branch: str) -> DataFrame:
-    """The latest value of each key and range of a branch."""
-    from ..operators.temporal import logical_ranges
-
-    return logical_ranges(engine.records(branch)).select(*(F.col(c) for c in schemas.RECORD.fieldNames()))

@@ -27,6 +27,13 @@ def test_nearest():
     assert parse("vector nearest [1, 2] limit 0") == NearestQuery((1.0, 2.0), 0)
 
 
+def test_hop_bounds():
+    assert parse(MATCH.replace("*..3", "*5..3")).max_hops == 3  # only the upper bound counts
+    for text in (MATCH.replace("*..3", "*0..0"), MATCH.replace("(a)-[:EDGE*..3]->(b)", "HOPS 0")):
+        with pytest.raises(InvalidQuery):
+            parse(text)
+
+
 @pytest.mark.parametrize("text", [
     "", "SELECT 1", MATCH.replace("FROM", "FRM"), MATCH.replace(ID, ID[:-1]), MATCH.replace("*..3", "*3.."), MATCH.replace("0.8", "1.1"), MATCH.replace("[1.0, -0.5e1]", "[]"),
     MATCH.replace("[1.0, -0.5e1]", "[nan]"), MATCH.replace("LIMIT 10", "LIMIT 0"), MATCH.replace("LIMIT 10", ""), MATCH.replace("EDGE_TYPE = 7", "EDGE_TYPE = 65536"), "VECTOR NEAREST [1]", "VECTOR NEAREST 1 LIMIT 1",

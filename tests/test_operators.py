@@ -1,20 +1,26 @@
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from latticeframe.functions import vector as V
 from latticeframe.operators import graph, hybrid, search, temporal
+from latticeframe.operators.quantiles import percentiles
 from latticeframe.sources.vecs import read_fvecs, read_ivecs
 
 
 def test_l2_ranking(spark):
-    rows = search.quantized(spark.createDataFrame([(1, [0.0, 0.0]), (2, [8.0, 0.0]), (3, [-10.0, 0.0])], "id long, embedding array<float>"))
-    assert [r.id for r in search.nearest(rows, [9.0, 0.0], 3, "l2").collect()] == [2, 1, 3]
+    x = np.random.default_rng(41).normal(size=(60, 6)).astype(np.float32)
+    rows = search.quantized(spark.createDataFrame(list(enumerate(x.tolist())), "id long, embedding array<float>"))
+    code = [(np.array(c, float), s) for c, s in map(V.quantize, x.tolist())]
+    far = [float(((c * s - code[11][0] * code[11][1]) ** 2).sum()) for c, s in code]
+    assert [r.id for r in search.nearest(rows, x[11].tolist(), 20, "l2").collect()] == sorted(range(60), key=lambda k: (far[k], k))[:20]
 
 
 def test_driver_and_column_quantisers_agree(spark):
@@ -29,7 +35,7 @@ def test_nearest_join_breaks_ties_by_id(spark):
     rows = search.quantized(spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in range(300)], "id long, embedding array<float>"))
     got = search.nearest_join(rows, rows.where("id < 2"), 5).orderBy("query_id", F.desc("score"), "id").collect()
     assert [r.id for r in got] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
-    chunked = search.nearest_join(rows, rows.where("id < 2"), 5, query_limit=1).orderBy("query_id", F.desc("score"), "id").collect()
+    chunked = search.nearest_join(rows, rows.where("id < 2"), 5, query_bytes=1).orderBy("query_id", F.desc("score"), "id").collect()
     assert chunked == got
 
 
@@ -80,12 +86,51 @@ def test_cell_index(spark, tmp_path):
     centres = np.eye(16, 64)
     x = (centres[np.arange(320) % 16] + 0.04 * rng.normal(size=(320, 64))).astype(np.float32)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<float>")
-    index, exact = search.CellIndex.build(df, str(tmp_path / "cells"), cells=8), search.quantized(df)
-    hits = 0
-    for k in range(0, 320, 64):
-        want = {r.id for r in search.nearest(exact, x[k].tolist(), 10).collect()}
-        hits += len(want & {r.id for r in index.search(spark, x[k].tolist(), 10, 3).collect()})
-    assert hits / 50 > 0.95
+    index, exact = search.CellIndex.build(df, str(tmp_path / "cells"), cells=64), search.quantized(df)
+    asked = F.col("id") % 5 == 0
+    got = search.recall(search.nearest_join(exact, exact.where(asked), 10), index.search_many(df.where(asked), 10, 4), 10).collect()
+    assert len(got) == 64 and np.mean([r.recall for r in got]) >= 0.95  # four of 64 cells
+    one = [r.id for r in index.search(spark, x[5].tolist(), 10, 4).collect()]
+    assert one == [r.id for r in index.search_many(df.where("id = 5"), 10, 4).orderBy(F.desc("score"), "id").collect()]
+    index.insert(spark.createDataFrame([(999, x[5].tolist())], "id long, embedding array<float>"))
+    assert {r.id for r in index.search(spark, x[5].tolist(), 2, 1).collect()} == {5, 999}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40), st.sampled_from([1, 2, 7, 64, 2**62]), st.integers(0, 1)), max_size=14), st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40), st.sampled_from([1, 3, 30, 2**40]), st.integers(0, 1)), max_size=14))
+def test_conflicts_against_brute_force(spark, ours, theirs):
+    kind = "key int, value int, valid_from long, valid_to long, asserted_at long"
+    ours, theirs = ({(k, a, a + w): v for k, a, w, v in rows} for rows in (ours, theirs))
+    frame = lambda rows: spark.createDataFrame([(k, v, a, b, 1) for (k, a, b), v in rows.items()], kind)
+    want = {(k, a, b) for (k, a, b), v in theirs.items() if any(k == x and a < d and c < b and v != u for (x, c, d), u in ours.items())}
+    got = [(r.key, r.valid_from, r.valid_to) for r in temporal.conflicts(frame(theirs), frame(ours)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("local", [10_000, 2])
+def test_walks_of_either_size(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng = np.random.default_rng(6)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2))} | {(1, 77)}
+    nodes, edges = spark.range(60), spark.createDataFrame([(a, b, 1) for a, b in sorted(links)] * 2, "src long, dst long, edge_type int")
+    want = set()
+    for start in (1, 2, 3):
+        front, seen = {start}, {start}
+        want.add((start, start, 0))
+        for h in range(1, 5):
+            front = {b for a, b in links if a in front and b < 60} - seen
+            seen |= front
+            want |= {(start, k, h) for k in front}
+    got = [tuple(r) for r in graph.reachable(nodes, edges, nodes.where("id IN (1, 2, 3)"), 4).select("start", "id", "depth").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), max_size=40))
+def test_percentiles_against_sorting(spark, values):
+    got = percentiles(spark.createDataFrame([(v,) for v in values], "x int").repartition(3), "x", [0.01, 0.5, 0.9, 1.0]).first()
+    real = sorted(v for v in values if v is not None)
+    assert list(got) == [real[max(1, math.ceil(p * len(real))) - 1] if real else None for p in (0.01, 0.5, 0.9, 1.0)]
 
 
 @settings(max_examples=4, deadline=None)

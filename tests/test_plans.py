@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticeframe import catalogue
-from latticeframe.operators import search, temporal
+from latticeframe.operators import graph, search, temporal
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,12 @@ def test_point_lookup_reads_two_columns(spark):
 def test_threshold_scan_is_one_stage(spark):
     text = plan(search.threshold_scan(catalogue.nodes_q(spark, SF).where(F.col("label") == 1), [0.1] * 64, 0.5))
     assert "Exchange" not in text and "EqualTo(label,1)" in text
+
+
+def test_walks_shuffle_neither_edges_nor_nodes(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS src", "(id * 7 + 1) % 2000 AS dst", "1 AS edge_type").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    frontier = spark.createDataFrame([(0, 0), (0, 5)], "start long, id long")
+    text = plan(graph._hops(frontier, edges.select("src", "dst")))
+    below = text[text.index("BroadcastHashJoin") :]
+    assert below.count("Exchange") == below.count("BroadcastExchange") == 1 and "Scan" in below and "SortMergeJoin" not in text
