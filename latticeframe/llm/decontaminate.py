@@ -70,32 +70,30 @@ class Walks:
         steps = max(1, 3 * size // 2)
         return np.random.default_rng((self.seed, size)).integers(0, steps, (self.walks, self.tables, self.places))
 
-    def paths(self, words: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-        """For each walk the places that it is at, by step: steps x starts.  ``words`` ends in LONGEST zeros or more."""
-        out, last = [], len(words) - 1
+    def paths(self, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The places that each walk is at, by step: walks x steps x starts.  ``words`` ends in LONGEST zeros or more."""
+        out, last = np.empty((self.walks, STEPS, len(start)), np.int32), len(words) - 1
         classes = (words & np.uint64(CLASSES - 1)).astype(np.int32)
-        for table in self.bits:
+        for at, table in zip(out, self.bits, strict=True):
             bits = [half[classes] for half in table]
-            at = np.empty((STEPS, len(start)), np.int32)
             i = start.astype(np.int32)
             for j in range(STEPS):
                 at[j] = i
                 i = i + (bits[j >> 6][np.minimum(i, last)] >> np.uint64(j & 63) & np.uint64(1)).astype(np.int32)
-            out.append(at)
         return out
 
-    def keys(self, words: np.ndarray, start: np.ndarray, paths: list[np.ndarray], which: np.ndarray, size: int) -> np.ndarray:
+    def keys(self, words: np.ndarray, start: np.ndarray, paths: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
         """Hash keys of the windows of a size at ``start[which]``: (walks * tables) x windows."""
-        end, out = start[which] + size, np.empty((self.walks * self.tables, len(which)), np.uint64)
-        for w, (path, sample) in enumerate(zip(paths, self.samples(size), strict=True)):
-            seen = {}
-            for j in np.unique(sample):
-                at = path[j, which]
-                seen[j] = np.where(at < end, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-            for t, steps in enumerate(sample):
-                key = sum(seen[j] * f for j, f in zip(steps, self.factors, strict=True))
-                out[w * self.tables + t] = ts.mix(key ^ np.uint64((size << 20) + (w << 10) + t))
-        return out
+        out = np.empty((self.walks, self.tables, len(which)), np.uint64)
+        end, samples = start[which] + size, self.samples(size)
+        name = np.uint64(size << 20) + (np.arange(self.walks, dtype=np.uint64)[:, None] << np.uint64(10)) + np.arange(self.tables, dtype=np.uint64)
+        for w in range(self.walks):
+            at = paths[w][samples[w].ravel()][:, which]
+            seen = words[np.minimum(at, len(words) - 1)]
+            seen[at >= end] = 0
+            key = (seen.reshape(self.tables, self.places, -1) * self.factors[:, None]).sum(1, dtype=np.uint64)
+            out[w] = ts.mix(key ^ name[w][:, None])
+        return out.reshape(self.walks * self.tables, -1)
 
 
 def _padded(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,18 +172,19 @@ class Gate:
         """(size, starts) of the windows that hold enough of the words of items of their size."""
         sets = self.sets(words)
         total = np.concatenate((np.zeros(1, np.int32), np.cumsum(sets != 0, dtype=np.int32)))
-        for n in self.sizes:
+        some, edge = {}, np.zeros(len(words) + 1, np.int32)
+        for n in self.sizes:  # first by the words of all sizes
             start = np.flatnonzero(total[n:] - total[:-n] >= self.need[n]) if n < len(total) else total[:0]
             start = start[words[start] != 0]
-            if not len(start):
-                continue
-            # now by the words of this size alone, within the places that such windows cover
-            edge = np.zeros(len(words) + 1, np.int32)
-            edge[start] = 1
-            edge[start + n] -= 1
-            at = np.flatnonzero(np.cumsum(edge[:-1]))
-            own = np.concatenate((np.zeros(1, np.int32), np.cumsum(sets[at] >> np.uint64(n - 1) & np.uint64(1), dtype=np.int32)))
-            place = np.searchsorted(at, start)
+            if len(start):
+                some[n] = start
+                edge[start] += 1
+                edge[start + n] -= 1
+        held = np.cumsum(edge[:-1]) > 0  # the places that such windows cover; then by the words of a size alone
+        rank, sets = np.concatenate((np.zeros(1, np.int32), np.cumsum(held, dtype=np.int32))), sets[held]
+        for n, start in some.items():
+            own = np.concatenate((np.zeros(1, np.int32), np.cumsum((sets >> np.uint64(n - 1)).astype(np.uint8) & np.uint8(1), dtype=np.int32)))
+            place = rank[start]
             start = start[own[place + n] - own[place] >= self.need[n]]
             if len(start):
                 yield n, start
@@ -324,7 +323,7 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, FOUND)
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 4, tables: int = 12, places: int = 2) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 4, tables: int = 8, places: int = 2) -> DataFrame:
     """mark (doc_id and hashes of the text), item, item_id, distance, end_word, item_words: one row for each stretch of a document and item."""
     spark = documents.sparkSession
     bounded_batches(spark)

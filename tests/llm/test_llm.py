@@ -404,7 +404,7 @@ def test_rows_are_dropped_by_their_text(spark):
 
 def test_recall_at_the_edge_of_the_edits():
     """Windows at every word against items at exactly the allowed edits; ordinary words, so that few keys agree by chance."""
-    rng, walks = random.Random(4), decontaminate.Walks(4, 12, 2)
+    rng, walks = random.Random(4), decontaminate.Walks(4, 8, 2)
     for n in (5, 10, 14, 20, 40, 64, 150):
         hit = 0
         for trial in range(120):
