@@ -6,6 +6,8 @@ an order of addition could matter.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .functions import vector as V
 from .operators import graph, hybrid, search, temporal
 from .operators.quantiles import percentiles
 from .plans import CatalogStats, MatchQuery, NearestQuery, explain, optimize, parse, plan_logical, run
+from .storage import Engine, SessionManager
 from .tables import fresh_path
 
 HOPS, LEAST, ASSERTED, VALID = 5, 0.1, 75, 400
@@ -408,10 +411,58 @@ def merge_apply(spark, sf_dir):
 
 @_query(_with("SELECT t.n AS parent_ranges, s.n AS child_ranges FROM (SELECT count(*) AS n FROM base) t, (SELECT count(*) AS n FROM source) s", "base", "source"))
 def fork_isolation(spark, sf_dir):
-    """A child's writes add to the child alone."""
-    base, _, child = branches(spark, sf_dir)
-    both = base.select(F.lit(0).alias("child")).unionAll(child.select(F.lit(1).alias("child")))
-    return both.agg(F.count_if(F.col("child") == 0).alias("parent_ranges"), F.count_if(F.col("child") == 1).alias("child_ranges"))
+    """A child's writes add to the child alone: a store with a commit, a fork and a commit to the fork."""
+    with _store(spark) as engine:
+        main, child = _committed(engine, records(spark, sf_dir))
+        ranges = [temporal.logical_ranges(engine.records(b)).select(F.lit(k).alias("child")) for k, b in enumerate((main, child))]
+    return ranges[0].unionAll(ranges[1]).agg(F.count_if(F.col("child") == 0).alias("parent_ranges"), F.count_if(F.col("child") == 1).alias("child_ranges"))
+
+
+@contextlib.contextmanager
+def _store(spark):
+    engine = Engine(spark, fresh_path(spark, "store"))
+    try:
+        yield engine
+    finally:
+        engine.close()
+
+
+def _committed(engine: Engine, rows: DataFrame, shift: int = 0) -> tuple[str, str]:
+    """Main with eight tenths of the records, and a fork of it with a ninth, which may be shifted."""
+    part, main = F.col("asserted_at") % 10, engine.main_branch().id
+
+    def commit(branch, some):
+        t = engine.begin(branch)
+        t.put_records(some.withColumn("value", F.col("value").cast("string")))
+        t.commit()
+
+    commit(main, rows.where(part < 8))
+    child = engine.fork(main).id
+    commit(child, rows.where(part == 9).withColumns({c: F.col(c) + shift for c in ("valid_from", "valid_to")}))
+    return main, child
+
+
+@_query(_with(f"SELECT (SELECT count(*) FROM ({_CHANGED.format('source_moved')})) AS applied, (SELECT count(*) FROM (SELECT key, valid_from, valid_to FROM base UNION SELECT key, valid_from, valid_to FROM source_moved)) AS ranges", "base", "source_moved"))
+def engine_merge(spark, sf_dir):
+    """A merge of a fork's changes into its origin, in a store: the ranges applied, and those that the origin then has."""
+    with _store(spark) as engine:
+        main, child = _committed(engine, records(spark, sf_dir), shift=40 * 86400000000)
+        applied = engine.merge(main, child).applied_ranges
+        ranges = temporal.logical_ranges(engine.records(main))
+    return ranges.agg(F.lit(applied).cast("bigint").alias("applied"), F.count("*").alias("ranges"))
+
+
+@_query(_with("SELECT lower(sha256('node-' || id)) AS id, round(score, 5) AS score FROM (SELECT id, score FROM scores ORDER BY score DESC, lower(sha256('node-' || id)) LIMIT 7)", "scores"))
+def session_nearest(spark, sf_dir):
+    """Ingest into a session and a query in the language, over the store's own ids and scores, exactly."""
+    m = SessionManager(spark, fresh_path(spark, "store"))
+    try:
+        session = m.fork_session(m.main_branch()).id
+        m.ingest(session, nodes(spark, sf_dir).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("key"), F.col("embedding").alias("vector"), "assertion_time", "valid_time"))
+        rows = m.query_frame(session, f"VECTOR NEAREST [{', '.join(repr(float(x)) for x in _vector_of(spark, sf_dir))}] LIMIT 7", exact=True)
+    finally:
+        m.close()
+    return rows.select(S.to_hex(F.col("id")).alias("id"), F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
 # stores -------------------------------------------------------------------------------------------------------------
