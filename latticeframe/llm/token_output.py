@@ -35,6 +35,7 @@ MAGIC = b"LFTOK001"
 SAMPLE = 256
 NULL_ID = -(1 << 63)
 RUN = 1 << 20  # bytes of ids that a reader holds
+RUN_PIECES = 1 << 13  # pieces between two looks at how much is remembered
 HEAD = struct.Struct("<BBHQQQQQ")
 
 
@@ -136,7 +137,8 @@ _encoders: dict = {}
 #: Fixed values of the tokenizers whose pieces are independent: how they normalise and cut a text.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-PIECE_BYTES, MEMORY_BYTES, ENTRY_BYTES = 32, 1 << 25, 200
+#: Longest piece that is remembered, bytes of all that is, and the most that a piece and its ids take as objects in a table.
+PIECE_BYTES, MEMORY_BYTES, ENTRY_BYTES = 32, 1 << 27, 300
 
 
 def cuts_at_spaces(path: str) -> bool:
@@ -155,10 +157,10 @@ def cuts_at_spaces(path: str) -> bool:
 
 
 class Memory(dict):
-    """Ids of short pieces as bytes; a missing piece is taken from the former generation or encoded.  Counts its own bytes."""
+    """Ids of short pieces as bytes; a missing piece is taken from the former generation or encoded."""
 
     def __init__(self, encode, kind: str, former: dict):
-        self.encode, self.kind, self.former, self.held = encode, kind, former, 0
+        self.encode, self.kind, self.former = encode, kind, former
 
     def __missing__(self, piece: bytes) -> bytes:
         found = self.former.get(piece)
@@ -166,7 +168,6 @@ class Memory(dict):
             found = array(self.kind, self.encode(piece.decode())).tobytes()
         if len(piece) <= PIECE_BYTES:
             self[piece] = found
-            self.held += len(piece) + len(found) + ENTRY_BYTES
         return found
 
 
@@ -201,7 +202,8 @@ class Encoder:
         return _encoders[path, pieces]
 
     def memory(self) -> int:
-        return self.known.held + getattr(self.known.former, "held", 0)
+        """Bytes of what is remembered, at most."""
+        return ENTRY_BYTES * (len(self.known) + len(self.known.former))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -211,11 +213,12 @@ class Encoder:
         if not self.pieces or any(s in data for s in self.special):
             return np.array(self._whole(text), self.kind)
         parts, out = _EDGE.sub(b" ", data).replace(b"\n", b" ").split(b" "), []
-        for k in range(0, len(parts), 65536):
-            if self.known.held > self.budget // 2 - 65536 * (2 * PIECE_BYTES + ENTRY_BYTES) // 4:
+        most = max(0, self.budget // 2 // ENTRY_BYTES - RUN_PIECES)
+        for k in range(0, len(parts), RUN_PIECES):
+            if len(self.known) > most:
                 former, self.known.former = self.known, {}
                 self.known = self._generation(former)
-            out.append(b"".join(map(self.known.__getitem__, parts[k : k + 65536])))
+            out.append(b"".join(map(self.known.__getitem__, parts[k : k + RUN_PIECES])))
         return np.frombuffer(b"".join(out), self.kind)
 
 
