@@ -128,15 +128,17 @@ def _pooled(cells: DataFrame, targets: dict, most: int) -> tuple[DataFrame, dict
     return cells.groupBy(*pool).agg(F.sum("n").alias("n")), kept
 
 
-def _cells(documents: DataFrame, topic: Column | None, topics: int) -> list[Column]:
-    """Columns k_source, k_lang, k_topic and k_tokens over ``documents``."""
+def _told(documents: DataFrame, topic: Column | None, topics: int) -> Column:
+    """A column (topic, n) over ``documents``: a row's topic and its tokens."""
     if topic is None:
-        both = topic_and_tokens(documents, topics)
-        topic, tokens = both["topic"], both["n"]
-    else:
-        tokens = token_count(F.col("text"))
-    cell = zip(DIMENSIONS, (F.col("source"), F.col("lang"), topic), strict=True)
-    return [*(category(c).alias(f"k_{d}") for d, c in cell), tokens.alias("k_tokens")]
+        return topic_and_tokens(documents, topics)
+    return F.struct(topic.alias("topic"), token_count(F.col("text")).alias("n"))
+
+
+def _cell(source: str, lang: str, told: str) -> list[Column]:
+    """Columns k_source, k_lang, k_topic and k_tokens of the columns that are named."""
+    cell = zip(DIMENSIONS, (source, lang, f"{told}.topic"), strict=True)
+    return [*(category(F.col(c)).alias(f"k_{d}") for d, c in cell), F.col(f"{told}.n").alias("k_tokens")]
 
 
 def calibrate(documents: DataFrame, targets: dict | None = None, **options) -> DataFrame:
@@ -145,13 +147,13 @@ def calibrate(documents: DataFrame, targets: dict | None = None, **options) -> D
     return rates.select(*(named(F.col(d)).alias(d) for d in DIMENSIONS), "tokens", "weight", "rate")
 
 
-def _rates(documents: DataFrame, targets: dict | None = None, temper: float = 0.7, budget: float | None = None, most: int | None = None, topic: Column | None = None, topics: int = 8, driver_cells: int = 1 << 17) -> tuple[DataFrame, dict, bool, list[Column]]:
-    """Rates by cell, the kept categories if some are pooled, whether the table is small, and the columns of a row's cell."""
+def _rates(documents: DataFrame, targets: dict | None = None, temper: float = 0.7, budget: float | None = None, most: int | None = None, topic: Column | None = None, topics: int = 8, driver_cells: int = 1 << 17) -> tuple[DataFrame, dict, bool, Column]:
+    """Rates by cell, the kept categories if some are pooled, whether the table is small, and the column of a row's topic and tokens."""
     spark = documents.sparkSession
     bounded_batches(spark)
     targets = {d: t for d, t in (targets or {}).items() if t is not None}
-    columns = _cells(documents, topic, topics)
-    rows = documents.select(*columns)
+    told = _told(documents, topic, topics)
+    rows = documents.select("source", "lang", told.alias("told")).select(*_cell("source", "lang", "told"))
     cells, path = stored(rows.groupBy(*(F.col(f"k_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("k_tokens").alias("n")), "cells")
     _check_targets(cells, targets)
     targets = {d: {f"={n}" if n is not None else MISSING: x for n, x in t.items()} for d, t in targets.items()}
@@ -164,7 +166,7 @@ def _rates(documents: DataFrame, targets: dict | None = None, temper: float = 0.
     small = cells.count() <= driver_cells
     out = _on_driver(cells, targets, temper, budget) if small else _on_cluster(cells, targets, temper, budget)
     remove(spark, path)
-    return out, kept, small, columns
+    return out, kept, small, told
 
 
 CELL = "source string, lang string, topic string, tokens long, weight double, rate double"
@@ -277,9 +279,10 @@ def mix(documents: DataFrame, seed: int = 20, **options) -> DataFrame:
 
 
 def _drawn(documents: DataFrame, seed: int = 20, **options) -> DataFrame:
-    rates, kept, small, columns = _rates(documents, **options)
+    rates, kept, small, told = _rates(documents, **options)
     table = rates.toDF("c_source", "c_lang", "c_topic", "c_tokens", "c_weight", "c_rate")
-    held = documents.select(F.struct("*").alias("doc"), *columns, draw(F.col("doc_id"), seed).alias("k_draw"))
+    held = documents.select(F.struct("*").alias("doc"), told.alias("k_told"), draw(F.col("doc_id"), seed).alias("k_draw"))
+    held = held.select("doc", *_cell("doc.source", "doc.lang", "k_told"), "k_draw")
     if kept:
         held = held.withColumns({f"k_{d}": F.when(F.col(f"k_{d}").isin(kept[d]), F.col(f"k_{d}")).otherwise(POOLED) for d in DIMENSIONS})
     both = held.join(F.broadcast(table) if small else table, (F.col("k_source") == F.col("c_source")) & (F.col("k_lang") == F.col("c_lang")) & (F.col("k_topic") == F.col("c_topic")))

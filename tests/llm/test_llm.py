@@ -535,6 +535,21 @@ def test_topics_part_texts_by_their_words():
     assert topics.fit([], 3)[1].shape == (1, topics.BUCKETS)
 
 
+def test_topics_are_fitted_on_every_text(spark, monkeypatch):
+    rng = random.Random(2)
+    kinds = [[f"{c}{k}" for k in range(12)] for c in "abc"]
+    texts = [" ".join(rng.choice(kinds[k % 2]) for _ in range(30)) for k in range(4000)]
+    texts += [" ".join(rng.choice(kinds[2]) for _ in range(8000)) for _ in range(4)]  # a kind of few rows, all of them long
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    want = topics.assign(topics.fit(texts[::-1], 3), [*texts, None, ""])
+    for rows, parts in ((docs, 64), (docs.repartition(7), 1)):  # merged by the driver, and by tasks first
+        monkeypatch.setattr(topics, "PARTS", parts)
+        got = rows.select("doc_id", topics.topic_and_tokens(rows, 3).alias("t")).orderBy("doc_id").collect()
+        assert [r.t.topic for r in got] == want[0] and [r.t.n for r in got] == want[1].tolist()
+    kind = [{r.t.topic for r in some} for some in (got[:4000:2], got[1:4000:2], got[4000:4004])]
+    assert all(len(k) == 1 for k in kind) and len(set.union(*kind)) == 3 and want[0][-2:] == ["none"] * 2
+
+
 def test_mixing(spark, awkward, empty):
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), ["en", "fr"][k % 2], ["a", "a", "b"][k % 3]) for k in range(6000)], "doc_id long, text string, lang string, source string")
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "fr": 0.4}}
