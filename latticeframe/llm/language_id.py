@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches
@@ -140,14 +140,15 @@ def predict(model: Model | None, texts: list, seen: np.ndarray) -> tuple[list[st
     return guess, score
 
 
-def prediction(documents: DataFrame, learn_from=None, per_language: int = 200, longest: int = 20_000, landmarks_per_language: int = 24):
-    """A column (lang_pred, score) over ``documents``, of their text alone.
-
-    The model is fitted on at most ``per_language`` labelled rows a language among those that ``learn_from`` accepts.
-    """
-    spark = documents.sparkSession
+def learn(documents: DataFrame, learn_from=None, per_language: int = 200, longest: int = 20_000, landmarks_per_language: int = 24) -> Model | None:
+    """The model of at most ``per_language`` labelled rows a language among those that ``learn_from`` accepts; none without such rows."""
     learn_from = F.lit(True) if learn_from is None else learn_from
-    shared = spark.sparkContext.broadcast(fit(labelled_sample(documents, learn_from, per_language, longest), landmarks_per_language))
+    return fit(labelled_sample(documents, learn_from, per_language, longest), landmarks_per_language)
+
+
+def prediction(spark: SparkSession, model: Model | None):
+    """A column (lang_pred, score) over any table, of its column ``text`` alone."""
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, seen = shared.value, np.zeros(CODES, bool)
@@ -174,7 +175,8 @@ def free_name(name: str, columns: list[str]) -> str:
 def identify(documents: DataFrame, learn_from=None, **options) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score`` (0 to 1) added; only the text of a row decides its prediction."""
     bounded_batches(documents.sparkSession)
-    held = documents.select(F.struct("*").alias("doc"), prediction(documents, learn_from, **options).alias("p"))
+    model = learn(documents, learn_from, **options)
+    held = documents.select(F.struct("*").alias("doc"), prediction(documents.sparkSession, model).alias("p"))
     lang, score = (free_name(n, documents.columns) for n in ("lang_pred", "score"))
     return held.select("doc.*", F.col("p.lang_pred").alias(lang), F.col("p.score").alias(score))
 

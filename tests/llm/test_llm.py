@@ -789,6 +789,21 @@ def test_unlabelled_documents_pass_the_first_stage(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 4]
 
 
+def test_mixing_weighs_by_the_language_that_is_told(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    kinds = {"en": "the of and to in is that for it with as was on are this".split(), "fr": "le la les des et est une dans que pour qui sur pas vous nous".split()}
+    right = [["en", "fr"][k % 2] for k in range(600)]
+    labels = [None if k % 50 < 2 else right[k - 1] if k % 50 < 4 else right[k] for k in range(600)]  # some missing, some wrong
+    rows = [(k, " ".join(rng.choice(kinds[right[k]]) for _ in range(30)), labels[k], "s") for k in range(600)]
+    rows.append((600, "今日は天気がいい " * 3000, "ja", "s"))  # too long to be learned from
+    docs = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), SF)
+    assert [r.lang for r in docs.orderBy("doc_id").collect()] == [*right, "ja"]
+    tokens = {r.lang: r.tokens for r in mixing.calibrate(docs, topic=F.lit("t")).collect()}
+    assert tokens == {"en": 9000, "fr": 9000, "ja": 3000}
+
+
 def test_pipeline_keeps_users_columns(spark, tmp_path):
     import corpus_pipeline
 
