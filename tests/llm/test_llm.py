@@ -662,6 +662,16 @@ def test_pieces_give_the_librarys_ids():
         assert e.encode(t).tolist() == e._whole(t)
 
 
+def test_pieces_are_cut_as_a_pattern_cuts_them():
+    rng = random.Random(8)
+    texts = ["", "a", ".", "a.", "'s", *("".join(rng.choice("ab'.,-\\`~{@ \n1éZ\t") for _ in range(rng.randrange(60))) for _ in range(3000))]
+    e = token_output.Encoder(token_output.word_tokenizer(), pieces=True)
+    for t in texts:
+        data = t.encode().translate(token_output._PLAIN)
+        assert token_output.cut(data) == re.sub(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])", b" ", t.encode().lower()).replace(b"\n", b" ").split(b" ")
+        assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 # urls
 
 
