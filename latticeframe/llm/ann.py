@@ -6,14 +6,19 @@ for large inner products, is then nil, whatever its length.  Centres are fitted
 the score-aware loss, which weighs the residual parallel to the (unit) vector ``eta`` times the orthogonal one: each vector's
 codes are chosen part after part under that loss, then all centres are solved for at once.
 
+What the coded direction leaves is kept in 16-bit steps of the row's own, with the length of what these leave in turn: a
+bound of the error of every inner product with that row.
+
 1. Equal vectors are folded to one, with the smallest ids that any query can ask for.  Every different vector is encoded
    once and stored packed; from here on only codes travel, not vectors.
-2. Queries meet blocks of codes (a stated query set against all rows).  A query has a table of inner products with all
-   centres, kept as 8-bit numbers; scanning adds one table entry a code.  A block passes on its share of ``rerank``
-   and a margin of six deviations; a query's best ``rerank`` of all blocks are kept.
+2. Queries meet blocks of codes (a stated query set against all rows).  A query's products with a block's decoded rows, less
+   and plus their bounds, tell which rows may be among its ``k``: all whose upper bound reaches the lower bound of the
+   k-th best are passed on, and of those of all blocks the ones that reach the k-th best of all.  No number cuts them.
 3. Those vectors are fetched by a join and scored exactly, in double precision, as they came; copies come back after
    that, smaller vec_ids first, so groups of copies of any size shut nothing out and give the right ids.
 
+So every one of the nearest rows is found, however the rows lie; where the codes tell less, more rows are scored.
+
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors meet those of their
 own length only, each length with centres of its own; a null vec_id takes no part; repeated vec_ids are candidates each but for queries of that id,
 and a repeated query id answers once for each different vector, its best rows together; ties go to the smaller vec_id; an
@@ -22,7 +27,6 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, stored
 
 PART, CENTRES = 2, 16
-FOUND = "query long, h1 long, h2 long, near float"
+TILE, BLOCK_BYTES = 1 << 22, 1 << 25  # components that are decoded at once; bytes of codes in a block
+FOUND = "query long, need int, h1 long, h2 long, low double, high double"
 
 
 @dataclass
@@ -145,6 +150,39 @@ def scan(queries: np.ndarray, codes: np.ndarray, centres: np.ndarray, factor: np
     return (out * scale[:, None].astype(np.float32) + low.sum((1, 2))[:, None].astype(np.float32)) * factor
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths, in double precision."""
+    x = x.astype(np.float64)
+    top = np.maximum(np.abs(x).max(1, keepdims=True), np.finfo(np.float64).tiny)
+    size = np.linalg.norm(x / top, axis=1, keepdims=True)
+    return x / top / np.maximum(size, 1e-300), (size * top)[:, 0]
+
+
+def packed_rows(book: Codebook, x: np.ndarray) -> np.ndarray:
+    """A row's bytes: codes of its direction, residual in 16-bit steps; factor, step, length of the row, bound of the error (doubles)."""
+    unit, size = directions(x)
+    code, factor = coded(book, unit.astype(np.float32))
+    rest = unit - _near(book.centres, code, factor.astype(np.float64), x.shape[1])
+    step = np.maximum(np.abs(rest).max(1) / 32767, 1e-300)
+    fine = np.rint(rest / step[:, None]).astype("<i2")
+    out = np.concatenate((pack(code), fine.view(np.uint8), np.stack((factor, step, size, size), 1).astype("<f8").view(np.uint8)), 1)
+    left = np.linalg.norm(unit - decoded(book.centres, out, x.shape[1])[0], axis=1)
+    out[:, -8:] = (left * (1 + 1e-9) + 1e-15 * (x.shape[1] + 16))[:, None].astype("<f8").view(np.uint8)  # and what sums in doubles may lose
+    return out
+
+
+def _near(centres: np.ndarray, code: np.ndarray, factor: np.ndarray, dim: int) -> np.ndarray:
+    return centres[np.arange(len(centres))[None, :], code].reshape(len(code), -1)[:, :dim] * factor[:, None]
+
+
+def decoded(centres: np.ndarray, rows: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions as coded, lengths, and bounds of the error of their products with unit vectors."""
+    cut = rows.shape[1] - 32 - 2 * dim
+    factor, step, size, left = np.ascontiguousarray(rows[:, -32:]).view("<f8").T
+    fine = np.ascontiguousarray(rows[:, cut:-32]).view("<i2")
+    return _near(centres, unpack(rows[:, :cut], len(centres)), factor, dim) + fine * step[:, None], size, left
+
+
 def exact_scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products in double precision, components added in order: equal vectors score equally."""
     out = np.zeros(len(rows))
@@ -179,45 +217,65 @@ def fold(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return vectors, ids
 
 
-def _encoded(vectors: DataFrame, book, dim: int) -> DataFrame:
-    """h1, h2, codes (packed), factor."""
+def _encoded(vectors: DataFrame, book) -> DataFrame:
+    """h1, h2, codes (``packed_rows``)."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                code, factor = coded(book.value, _matrix(b.column(2)))
-                flat = pack(code)
+                flat = packed_rows(book.value, _matrix(b.column(2)))
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(flat.shape[1]), len(flat), [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                yield pa.record_batch([b.column(0), b.column(1), packed, pa.array(factor)], names=["h1", "h2", "codes", "factor"])
+                yield pa.record_batch([b.column(0), b.column(1), packed], names=["h1", "h2", "codes"])
 
-    return vectors.select("h1", "h2", "embedding").mapInArrow(run, "h1 long, h2 long, codes binary, factor float")
+    return vectors.select("h1", "h2", "embedding").mapInArrow(run, "h1 long, h2 long, codes binary")
 
 
-def _candidates(queries: DataFrame, codes: DataFrame, book, blocks: int, chunks: int, take: int) -> DataFrame:
-    """query, h1, h2, near: each block's best ``take`` for each query."""
+def _candidates(queries: DataFrame, codes: DataFrame, book, dim: int, blocks: int, chunks: int) -> DataFrame:
+    """FOUND: each block's rows that may be among the ``need`` best of a query, with bounds of their products with its direction."""
     block = F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(blocks)).cast("int")
     chunk = F.pmod(F.xxhash64("query", F.lit(4)), F.lit(chunks)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    left = queries.select(chunk.alias("chunk"), spread(blocks).alias("block"), F.lit(0).alias("side"), F.col("query").alias("h1"), F.lit(0).cast("long").alias("h2"), none("binary").alias("codes"), none("float").alias("factor"), "embedding")
-    right = codes.select(spread(chunks).alias("chunk"), block.alias("block"), F.lit(1).alias("side"), "h1", "h2", "codes", "factor", none(queries.schema["embedding"].dataType.simpleString()).alias("embedding"))
+    left = queries.select(chunk.alias("chunk"), spread(blocks).alias("block"), F.lit(0).alias("side"), F.col("query").alias("h1"), F.lit(0).cast("long").alias("h2"), none("binary").alias("codes"), "need", "embedding")
+    right = codes.select(spread(chunks).alias("chunk"), block.alias("block"), F.lit(1).alias("side"), "h1", "h2", "codes", F.lit(0).alias("need"), none(queries.schema["embedding"].dataType.simpleString()).alias("embedding"))
     dealt = left.unionAll(right).repartition(min(blocks * chunks, 4096), "block", "chunk").sortWithinPartitions("block", "chunk", "side", "h1", "h2")
 
     def run(batches):
-        for ids, vectors, h1, h2, packed, factor in _cells(batches):
+        for ids, needs, vectors, h1, h2, packed in _cells(batches):
             if not len(ids) or not len(h1):
                 continue
-            code, n = unpack(packed, len(book.value.centres)), min(take, len(h1))
-            for begin in range(0, len(ids), 128):
-                near = scan(vectors[begin : begin + 128], code, book.value.centres, factor)
-                at = np.argpartition(near, len(h1) - n, axis=1)[:, len(h1) - n :]
-                yield pa.record_batch([pa.array(np.repeat(ids[begin : begin + 128], n)), pa.array(h1[at].ravel()), pa.array(h2[at].ravel()), pa.array(np.take_along_axis(near, at, 1).ravel())], names=["query", "h1", "h2", "near"])
+            tile = max(1024, TILE // dim)
+            for start in range(0, len(h1), tile):
+                own1, own2 = h1[start : start + tile], h2[start : start + tile]
+                rows, size, left = decoded(book.value.centres, packed[start : start + tile], dim)
+                for begin in range(0, len(ids), 64):
+                    need = needs[begin : begin + 64]
+                    low, high = _bounds(directions(vectors[begin : begin + 64])[0], rows, size, left)
+                    q, r = np.nonzero(high >= _floor(low, need)[:, None])
+                    for s in range(0, len(q), 1 << 19):  # batches of some 20 MB
+                        a, b = q[s : s + (1 << 19)], r[s : s + (1 << 19)]
+                        yield pa.record_batch([pa.array(x) for x in (ids[begin + a], need[a].astype(np.int32), own1[b], own2[b], low[a, b], high[a, b])], names=["query", "need", "h1", "h2", "low", "high"])
 
     return dealt.mapInArrow(run, FOUND)
 
 
+def _bounds(asked: np.ndarray, rows: np.ndarray, size: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest inner products of unit queries with the vectors that were coded."""
+    near = asked @ rows.T
+    return (near - left) * size, (near + left) * size
+
+
+def _floor(low: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The lower bound that ``need`` rows of each query reach."""
+    out, n = np.full(len(low), -np.inf), low.shape[1]
+    for x in np.unique(need[need < n]):
+        at = need == x
+        out[at] = np.partition(low[at], n - x, axis=1)[:, n - x]
+    return out
+
+
 def _cells(batches):
-    """Runs of equal (block, chunk) over sorted batches: query ids and vectors, then the hashes, codes and factors of rows."""
+    """Runs of equal (block, chunk) over sorted batches: ids, needs and vectors of queries, then the hashes and codes of rows."""
     held, key = [], None
     for b in batches:
         if not b.num_rows:
@@ -238,7 +296,7 @@ def _piece(b, s: int, rows: int, e: int):
     part = b.slice(rows, e - rows)
     packed = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(e - rows, -1) if e > rows else None
     vectors = _matrix(b.column(7).slice(s, rows - s)) if rows > s else None
-    return b.column(3).slice(s, rows - s).to_numpy(), vectors, *(part.column(i).to_numpy(zero_copy_only=False) for i in (3, 4)), packed, part.column(6).to_numpy(zero_copy_only=False)
+    return *(b.column(i).slice(s, rows - s).to_numpy() for i in (3, 6)), vectors, *(part.column(i).to_numpy(zero_copy_only=False) for i in (3, 4)), packed
 
 
 def _joined(held):
@@ -259,8 +317,11 @@ def _rescored(found: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataF
     return pairs.select("query", "h1", "h2", "embedding", "asked").mapInArrow(run, "query long, h1 long, h2 long, score double")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 400, sample_rows: int = 4000, block_rows: int = 65536, chunk_rows: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows nearest to each query; both inputs as ``valid`` returns them."""
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 0, sample_rows: int = 4000, block_rows: int = 65536, chunk_rows: int = 8192) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows nearest to each query; both inputs as ``valid`` returns them.
+
+    Scored exactly are all rows that may be among a query's ``k`` nearest, or among its ``rerank`` nearest if that is more.
+    """
     spark = rows.sparkSession
     bounded_batches(spark)
     vectors, ids = fold(rows, k)
@@ -269,12 +330,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 400,
     asked, _ = stored(queries.select("vec_id", F.transform("embedding", lambda x: x + 0).alias("embedding")).distinct(), "queries")
     # a query is told by its vector and its id, so repeated ids ask for each of their vectors
     asked = asked.withColumn("query", F.xxhash64("vec_id", "embedding"))
+    # rows of a query's own id don't count
+    own_rows = ids.groupBy("vec_id").agg(F.count("*").alias("own"))
+    need = F.least(F.greatest(F.lit(k) + F.coalesce("own", F.lit(0)), F.lit(rerank)), F.lit(2**31 - 1)).cast("int")
+    asked, _ = stored(asked.join(own_rows, "vec_id", "left").withColumn("need", need).drop("own"), "asked")
     parts = []
     for dim in sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect()):
         some, own = vectors.where(F.size("embedding") == dim), asked.where(F.size("embedding") == dim)
         total, n = some.count(), own.count()
         if n:
-            parts.append(_search_size(some, own, dim, total, n, k, rerank, sample_rows, block_rows, chunk_rows))
+            parts.append(_search_size(some, own, dim, total, n, sample_rows, block_rows, chunk_rows))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = parts[0]
@@ -286,17 +351,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 400,
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_size(vectors: DataFrame, queries: DataFrame, dim: int, total: int, n: int, k: int, rerank: int, sample_rows: int, block_rows: int, chunk_rows: int) -> DataFrame:
-    """query, h1, h2, score of the ``rerank`` candidates of each query, among vectors of one length."""
+def _search_size(vectors: DataFrame, queries: DataFrame, dim: int, total: int, n: int, sample_rows: int, block_rows: int, chunk_rows: int) -> DataFrame:
+    """query, h1, h2, score of all candidates of each query, among vectors of one length."""
     spark = vectors.sparkSession
     sample = _matrix(vectors.orderBy(F.xxhash64("h1"), "h1", "h2").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks())
     book = spark.sparkContext.broadcast(fit((sample / np.maximum(np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True), 1e-300)).astype(np.float32)))
-    codes, _ = stored(_encoded(vectors, book, dim), "codes")
-    blocks, chunks = max(12, -(-total // block_rows)), max(1, -(-n // chunk_rows))
-    share = rerank / blocks
-    found = _candidates(queries, codes, book, blocks, chunks, min(rerank, math.ceil(share + 6 * share**0.5 + 8)))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "h1", "h2"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= max(rerank, 2 * k)).select("query", "h1", "h2")
+    codes, _ = stored(_encoded(vectors, book), "codes")
+    width = -(-dim // (2 * PART)) + 2 * dim + 32
+    blocks, chunks = max(12, -(-total // block_rows), -(-total * width // BLOCK_BYTES)), max(1, -(-n // chunk_rows))
+    found = _candidates(queries, codes, book, dim, blocks, chunks)
+    own = Window.partitionBy("query")
+    found = found.withColumn("rank", F.row_number().over(own.orderBy(F.desc("low"), "h1", "h2")))
+    found = found.withColumn("floor", F.min(F.when(F.col("rank") <= F.col("need"), F.col("low"))).over(own))
+    found = found.where(F.col("high") >= F.col("floor")).select("query", "h1", "h2")
     return _rescored(found, queries, vectors)
 
 
@@ -305,7 +372,7 @@ def op10_ann(spark, sf_dir: str) -> DataFrame:
     return search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
-#: Exact nearest rows, for tables whose rows are all among the candidates; of larger ones the recall is measured.
+#: Exact nearest rows.
 OP10_SQL = """
 WITH rows AS (
   SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings

@@ -789,6 +789,26 @@ def test_copies_shut_no_nearer_rows_out(spark):
     assert len(recall) == 200 and np.mean(recall) >= 0.99 and min(recall) >= 0.9
 
 
+def test_search_misses_nothing_on_uneven_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 33)) * np.where(rng.random((6000, 1)) < 0.002, 1000, 1)  # a few very long rows
+    x[1000:4000] = x[rng.integers(0, 5, 3000)] + 1e-4 * rng.normal(size=(3000, 33))  # and clusters that a code can't tell apart
+    x[0:30] = rng.normal(size=(30, 33))
+    x = x.astype(np.float32)
+    rows = [(0 if k < 30 else k, v) for k, v in enumerate(x.tolist())]  # thirty rows of one id, none a candidate of its queries
+    df = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = ann.search(df, df.where("vec_id % 60 = 0")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    ids = np.array([r[0] for r in rows])
+    for q in range(60, 6000, 60):
+        score = ann.exact_scores(x[q], x)
+        order = np.lexsort((ids, -score))
+        assert got[q] == [ids[k] for k in order if k != q][:20]
+    assert len(got) == 100 and 0 not in got[0] and len(got[0]) == 20
+
+
 # the pipeline
 
 
