@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 RECORD = ("key", "value", "valid_from", "valid_to", "asserted_at")
 RANGE = ("key", "valid_from", "valid_to")
@@ -48,21 +52,47 @@ def _levels(rows: DataFrame, start: str, end: str) -> list[int]:
 def as_of_join(probes: DataFrame, records: DataFrame) -> DataFrame:
     """For each probe (probe_id, key, at, known_by) the record then valid and known; probes without one are left out.
 
-    A record lies in at most two buckets as wide as its interval's power of two, a probe in one of each width that
-    occurs: one equi-join on key, width and bucket, so a key's records meet only the probes of their time, and a minimum
-    with partial sums.  No sort, no window; AQE may split hot keys on either side.
+    Records of one interval are one range.  A range lies in at most two buckets as wide as its interval's power of two, a
+    probe in one of each width that occurs: one equi-join on key, width and bucket, so a probe meets the ranges of its time,
+    however many records share them.  Within a range records and probes are sorted by epoch together and each probe takes
+    the record before it, in one pass; what ranges answer meets in a minimum with partial sums.
     """
-    level = _level(F.col("valid_from"), F.col("valid_to"))
-    facts = records.where("valid_from < valid_to").withColumn("level", level)
-    facts = facts.withColumn("bucket", F.explode(_buckets(F.col("valid_from"), F.col("valid_to"), F.col("level"))))
+    facts = records.where("valid_from < valid_to AND asserted_at IS NOT NULL")
+    ranges = facts.select(*RANGE).distinct().withColumn("level", _level(F.col("valid_from"), F.col("valid_to")))
+    ranges = ranges.withColumn("bucket", F.explode(_buckets(F.col("valid_from"), F.col("valid_to"), F.col("level"))))
     widths = _levels(records, "valid_from", "valid_to")
-    asks = probes.withColumn("level", F.explode(F.array(*(F.lit(x) for x in widths)).cast("array<int>")))
+    asks = probes.where("known_by IS NOT NULL").withColumn("level", F.explode(F.array(*(F.lit(x) for x in widths)).cast("array<int>")))
     asks = asks.withColumn("bucket", _bucket(F.col("at"), F.col("level")))
-    both = asks.join(facts, ["key", "level", "bucket"]).where((F.col("valid_from") <= F.col("at")) & (F.col("at") < F.col("valid_to")) & (F.col("asserted_at") <= F.col("known_by")))
+    met = asks.join(ranges, ["key", "level", "bucket"]).where((F.col("valid_from") <= F.col("at")) & (F.col("at") < F.col("valid_to")))
+    none = lambda c: F.lit(None).cast(c.dataType)
+    met = met.select(*RANGE, F.col("known_by").alias("epoch"), F.lit(1).alias("side"), "probe_id", none(records.schema["value"]).alias("value"))
+    met = met.unionAll(facts.where("key IS NOT NULL").select(*RANGE, "asserted_at", F.lit(0), none(probes.schema["probe_id"]), "value"))
+    dealt = met.repartition(*RANGE).sortWithinPartitions(*RANGE, "epoch", "side")
+    kinds = {"asserted_at": met.schema["epoch"].dataType}
+    out = StructType([StructField(c, kinds[c] if c in kinds else met.schema[c].dataType) for c in ("probe_id", *RECORD)])
+    both = dealt.mapInArrow(_records_before, out)
     best = both.groupBy("probe_id", "key").agg(F.min_by(F.struct("value", "valid_from", "valid_to", "asserted_at"), _latest()).alias("r"))
     return best.select("probe_id", "key", "r.value", "r.valid_from", "r.valid_to", "r.asserted_at")
 
 
+def _records_before(batches):
+    """Probes (side 1) with the last record (side 0) before them in their range, over batches sorted by range, epoch and side."""
+    held = None  # the last record of the range at hand
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = b if held is None else pa.concat_batches([held, b])
+        at, record = np.arange(rows.num_rows), rows.column("side").to_numpy() == 0
+        begins = np.ones(rows.num_rows, bool)
+        begins[1:] = np.any([pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False) for x in map(rows.column, RANGE)], axis=0)
+        last, begin = np.maximum.accumulate(np.where(record, at, -1)), np.maximum.accumulate(np.where(begins, at, -1))
+        asked = np.flatnonzero(~record & (last >= begin))
+        probe, found = rows.take(pa.array(asked)), rows.take(pa.array(last[asked]))
+        columns = [probe.column("probe_id"), *(found.column(c) for c in ("key", "value", "valid_from", "valid_to", "epoch"))]
+        yield pa.record_batch(columns, names=["probe_id", *RECORD])
+        held = rows.slice(last[-1], 1) if last[-1] >= begin[-1] else None
+
+
 def logical_ranges(records: DataFrame) -> DataFrame:
     """The latest value of each (key, valid_from, valid_to)."""
     best = records.groupBy(*RANGE).agg(F.max_by(F.struct("value", "asserted_at"), F.struct("asserted_at", "value")).alias("r"))

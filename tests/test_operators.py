@@ -74,6 +74,42 @@ def test_as_of_against_brute_force(spark, rows, at, known):
     assert [(r.valid_from, r.valid_to, r.asserted_at) for r in joined] == [(r.valid_from, r.valid_to, r.asserted_at) for r in got]
 
 
+def joined_rows(df) -> list[int]:
+    """Rows that each join of an executed plan put out."""
+    def walk(p):  # noqa: E306
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = [p.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") else []
+        return own + [n for i in range(p.children().length()) for n in walk(p.children().apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_as_of_join_meets_ranges_not_records(spark):
+    records = spark.range(0, 6000, 1, 4).selectExpr("'k' AS key", "CAST(id AS string) AS value", "id % 3 * 10 AS valid_from", "id % 3 * 10 + 20 AS valid_to", "id AS asserted_at")
+    probes = spark.range(0, 6000, 1, 4).selectExpr("id AS probe_id", "'k' AS key", "id % 40 AS at", "id - 1 AS known_by")
+    df = temporal.as_of_join(probes, records)
+    got = {r.probe_id: (r.value, r.valid_from, r.asserted_at) for r in df.collect()}
+    want = {}
+    for n in range(6000):
+        known = [k for k in range(max(0, n - 6), n) if k % 3 * 10 <= n % 40 < k % 3 * 10 + 20]
+        if known:
+            want[n] = (str(known[-1]), known[-1] % 3 * 10, known[-1])
+    assert got == want
+    rows = joined_rows(df)
+    assert rows and sum(rows) <= 3 * 6000  # two ranges a probe, not 4,000 records
+
+
+def test_as_of_join_takes_null_values_and_types(spark):
+    records = spark.createDataFrame([(1, None, 0, 9, 3), (1, [1], 0, 9, 1), (None, [2], 0, 9, 1), (2, [3], 0, 9, None), (2, [4], 5, 5, 1)], "key int, value array<int>, valid_from long, valid_to long, asserted_at long")
+    probes = spark.createDataFrame([("a", 1, 4, 3), ("b", 1, 4, 2), ("c", 1, 4, 0), ("d", None, 4, 9), ("e", 2, 5, 9), ("f", 1, 9, 9), ("g", 1, 4, None)], "probe_id string, key int, at long, known_by long")
+    got = sorted((r.probe_id, r.value, r.asserted_at) for r in temporal.as_of_join(probes, records).collect())
+    assert got == [("a", None, 3), ("b", [1], 1)]
+
+
 def test_vector_files(spark, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(b"".join(struct.pack("<i3f", 3, k, k + 0.5, -k) for k in range(5)))
     (tmp_path / "a.ivecs").write_bytes(b"".join(struct.pack("<i2i", 2, k, -k) for k in range(4)))
