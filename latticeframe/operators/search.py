@@ -42,9 +42,10 @@ def scored(nodes: DataFrame, query: list[float], metric: str = "cosine") -> Data
     raise InvalidVector(f"unknown metric {metric}")
 
 
-def nearest(nodes: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
-    """The k best rows by score, then id: one scan and a top-k merge."""
-    return scored(nodes, query, metric).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+def nearest(nodes: DataFrame, query: list[float], k: int, metric: str = "cosine", digits: int | None = None) -> DataFrame:
+    """The k best rows by score, rounded to ``digits`` if given, then id: one scan and a top-k merge."""
+    score = F.col("score") if digits is None else (F.round("score", digits) + 0.0).alias("score")
+    return scored(nodes, query, metric).select("id", score).orderBy(F.desc("score"), "id").limit(k)
 
 
 def threshold_scan(nodes: DataFrame, query: list[float], least: float) -> DataFrame:
