@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch, InvalidVector
 from ..functions import vector as V
 
+TILE = 1 << 20  # scores, or components of codes, that a worker holds at once
+
 
 def quantized(nodes: DataFrame, vector: str = "embedding") -> DataFrame:
     """Replaces a float vector column by codes, scale and nn."""
@@ -56,11 +58,12 @@ def threshold_scan(nodes: DataFrame, query: list[float], least: float) -> DataFr
 def nearest_join(nodes: DataFrame, queries: DataFrame, k: int, query_bytes: int = 1 << 25) -> DataFrame:
     """The k best rows for each query: query_id, id, dot, score.
 
-    Query codes are broadcast, as doubles, only up to ``query_bytes``; more queries are dealt in chunks of that size
-    against all rows, a chunk a pass.  Rows are scored as integer matrix products over Arrow batches; each batch passes
-    on its own k best, so what is shuffled is k rows a query and batch.
+    Query codes are broadcast, as bytes, only up to ``query_bytes``; more queries are dealt in chunks of that size
+    against all rows, a chunk a pass.  Rows are scored as integer matrix products over Arrow batches, in tiles of TILE
+    scores, so a worker's memory depends neither on the rows nor on the queries; each batch passes on its own k best, so
+    what is shuffled is k rows a query and batch.
     """
-    size = queries.agg(F.sum(F.size("codes") * 8 + 16)).first()[0] or 0
+    size = queries.agg(F.sum(F.size("codes") + 16)).first()[0] or 0
     chunks = max(1, -(-size // query_bytes))
     out = None
     for c in range(chunks):
@@ -76,40 +79,56 @@ def _join_chunk(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     table = queries.select("id", "codes", "nn").toArrow()
     if table.num_rows == 0:
         return spark.createDataFrame([], "query_id long, id long, dot long, score double")
-    matrix = np.array(table.column("codes").to_pylist(), np.float64)
-    shared = spark.sparkContext.broadcast((np.array(table.column("id").to_pylist()), matrix, np.array(table.column("nn").to_pylist(), np.int64)))
+    shared = spark.sparkContext.broadcast((table.column("id").to_numpy(), _codes(table.column("codes").combine_chunks()), table.column("nn").to_numpy()))
 
     def run(batches):
         qid, q, qn = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, nn = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            codes = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            for s in range(0, len(qid), 1024):
-                dot = (q[s : s + 1024] @ codes.T).astype(np.int64)  # exact: far below 2**53
-                root = np.sqrt(qn[s : s + 1024].astype(np.float64))[:, None] * np.sqrt(nn.astype(np.float64))[None, :]
+        names, held, count = ["query_id", "id", "dot", "score"], [], 0
+        for ids, codes, nn in _tiles(batches, q.shape[1]):
+            step = max(1, TILE // len(ids))
+            for s in range(0, len(qid), step):
+                dot = q[s : s + step].astype(np.float64) @ codes.T  # exact: far below 2**53
+                root = np.sqrt(qn[s : s + step].astype(np.float64))[:, None] * np.sqrt(nn.astype(np.float64))
                 score = np.divide(dot, root, out=np.zeros(dot.shape), where=root > 0)
-                take = min(k, len(ids))
-                # the score first, then the smaller id
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :take] if len(ids) <= 4 * k else _top(score, ids, take)
-                rows = np.repeat(np.arange(len(dot)), take)
-                at = order.ravel()
-                yield pa.record_batch([pa.array(qid[s + rows]), pa.array(ids[at]), pa.array(dot[rows, at]), pa.array(score[rows, at])], names=["query_id", "id", "dot", "score"])
+                of, at = _top(score, k)
+                held.append(pa.record_batch([pa.array(qid[s + of]), pa.array(ids[at]), pa.array(dot[of, at].astype(np.int64)), pa.array(score[of, at])], names=names))
+                count += len(of)
+                if count >= 1 << 16:
+                    yield pa.concat_batches(held)
+                    held, count = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
     return nodes.select("id", "codes", "nn").mapInArrow(run, "query_id long, id long, dot long, score double")
 
 
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row by score, then smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    s = score[:, by_id]
-    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(s), k), np.int64)
-    for r in range(len(s)):
-        some = np.flatnonzero(s[r] >= least[r])
-        out[r] = some[np.argsort(-s[r][some], kind="stable")[:k]]
-    return by_id[out]
+def _codes(column) -> np.ndarray:
+    """Codes as a matrix of bytes."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _tiles(batches, dimension: int):
+    """ids, codes (doubles) and nn of rows in order of their ids, at most TILE components at a time."""
+    rows = max(256, TILE // max(1, dimension))
+    for whole in batches:
+        for begin in range(0, whole.num_rows, rows):
+            b = whole.slice(begin, rows)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            by_id = np.argsort(ids, kind="stable")
+            yield ids[by_id], _codes(b.column(1))[by_id].astype(np.float64), b.column(2).to_numpy(zero_copy_only=False)[by_id]
+
+
+def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each row by score, then smaller column."""
+    n = score.shape[1]
+    if n > k:
+        of, at = np.nonzero(score >= np.partition(score, n - k, axis=1)[:, n - k : n - k + 1])
+    else:
+        of, at = np.nonzero(np.ones(score.shape, bool))
+    order = np.lexsort((at, -score[of, at], of))
+    of, at = of[order], at[order]
+    first = np.arange(len(of)) - np.searchsorted(of, of) < k  # ties of the k-th beyond it go
+    return of[first], at[first]
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
