@@ -171,11 +171,19 @@ def with_cells(nodes: DataFrame, centres: np.ndarray, vector: str) -> DataFrame:
 
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series((np.stack(v.to_list()) @ shared.value.T).argmax(1) if len(v) else [], dtype="int32")
+            near = [(x @ shared.value.T).argmax(1) for x in _stacks(v, len(shared.value))]
+            yield pd.Series(np.concatenate(near) if near else [], dtype="int32")
 
     return nodes.withColumn("cell", F.pandas_udf(assign, "int")(F.col(vector)))
 
 
+def _stacks(vectors: pd.Series, cells: int) -> Iterator[np.ndarray]:
+    """Vectors as matrices, with at most TILE products with the cells' centres at a time."""
+    rows = max(1, TILE // max(1, cells))
+    for begin in range(0, len(vectors), rows):
+        yield np.stack(vectors.iloc[begin : begin + rows].to_list())
+
+
 class CellIndex:
     """Approximate search: rows are grouped by their nearest centre, stored partitioned by cell.
 
@@ -210,7 +218,8 @@ class CellIndex:
 
         def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for v in batches:
-                yield pd.Series(np.argsort(-(np.stack(v.to_list()) @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32).tolist() if len(v) else [])
+                near = (np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32) for x in _stacks(v, len(shared.value)))
+                yield pd.Series([row for x in near for row in x])
 
         asked = quantized(queries.withColumn("cells", F.pandas_udf(cells, "array<int>")(F.col(self.vector))), self.vector)
         asked = asked.select(F.col("id").alias("query_id"), F.col("codes").alias("q_codes"), F.col("nn").alias("q_nn"), F.explode("cells").alias("cell"))

@@ -5,6 +5,7 @@ import struct
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -176,6 +177,13 @@ def test_cell_index(spark, tmp_path):
     assert {r.id for r in index.search(spark, x[5].tolist(), 2, 1).collect()} == {5, 999}
 
 
+def test_cells_of_a_batch_are_told_in_tiles():
+    vectors = pd.Series(list(np.random.default_rng(2).normal(size=(3000, 4)).astype(np.float32)))
+    parts = list(search._stacks(vectors, 4096))
+    assert max(len(p) for p in parts) * 4096 <= search.TILE and (np.concatenate(parts) == np.stack(vectors.to_list())).all()
+    assert list(search._stacks(vectors[:0], 4096)) == []
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40), st.sampled_from([1, 2, 7, 64, 2**62]), st.integers(0, 1)), max_size=14), st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40), st.sampled_from([1, 3, 30, 2**40]), st.integers(0, 1)), max_size=14))
 def test_conflicts_against_brute_force(spark, ours, theirs):
